@@ -57,13 +57,15 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
 def mix(sized: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and ``whole``, the epochs of the whole document in ``taken``."""
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("null"))
-    per = targets(sized, **how).select(key(F.col("source")).alias("key"), "source_size", "n_docs", "target")
+    # Written, the table of sources has a known size: Spark broadcasts it below its threshold and else joins by key.
+    per = written(targets(sized, **how).select(key(F.col("source")).alias("key"), "source_size", "n_docs", "target"), "targets")
     rows = sized.select("doc_id", "size", key(F.col("source")).alias("key")).join(per, "key")
     rows = rows.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor("rate"))
     rows = rows.withColumn("draw", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("doc_id").cast("string"))))
     strata = F.ceil(F.col("n_docs") / STRATUM)
     rows = rows.withColumn("stratum", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % strata)
-    one = W.partitionBy("key", "stratum")
+    # One column: a join dealt by "key" alone would else be taken as dealt for the window, a hot source in one task.
+    one = W.partitionBy(F.concat_ws(":", "stratum", "key"))
     upto = F.sum("size").over(one.orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
     quota = F.floor((F.col("rate") - F.col("whole")) * F.sum("size").over(one) + 0.5)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), quota - upto + F.col("size")))
