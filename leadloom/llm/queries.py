@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leadloom.llm import exact_dedup, mixing, packing
+from leadloom.llm import exact_dedup, mixing, ngram_join, packing
 from leadloom.llm.common import documents
 
 QUERIES = {
+    "op1_ngram_jaccard_join": lambda spark, sf_dir: ngram_join.query(spark, documents(spark, sf_dir)),
     "op3_exact_dedup": lambda spark, sf_dir: exact_dedup.query(spark, documents(spark, sf_dir)),
     "op8_source_mixing": lambda spark, sf_dir: mixing.query(spark, documents(spark, sf_dir)),
     "op9_packing": lambda spark, sf_dir: packing.query(spark, documents(spark, sf_dir)),
