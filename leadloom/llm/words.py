@@ -30,12 +30,10 @@ def slices(batches, text: str) -> Iterator[pa.RecordBatch]:
 def words(column: pa.Array, lower_ascii: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """``(codes, bounds, distinct)``: row r's words ``[^\\x20\\x09-\\x0D]+`` are ``distinct[codes[bounds[r]:bounds[r + 1]]]``."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
-    if lower_ascii:
-        column = pc.ascii_lower(column)
     split = pc.ascii_split_whitespace(column)
-    bounds = np.asarray(split.offsets, dtype=np.int64)
-    coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    bounds = bounds - bounds[0]
+    bounds, values = np.asarray(split.offsets, dtype=np.int64), split.values
+    # Lower-cased here: over a slice of an array, ascii_lower reads the wrong bytes in this version of Arrow.
+    coded = (pc.ascii_lower(values) if lower_ascii else values).dictionary_encode()
     codes = np.asarray(coded.indices, dtype=np.int64)
     empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
     if empty >= 0:  # white space at either end of a text
