@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from leadloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
+from leadloom.llm import exact_dedup, language_id, mixing, neighbours, ngram_join, packing
 from leadloom.llm.common import documents
 
 QUERIES = {
     "op1_ngram_jaccard_join": lambda spark, sf_dir: ngram_join.query(spark, documents(spark, sf_dir)),
     "op2_language_id": lambda spark, sf_dir: language_id.query(spark, documents(spark, sf_dir)),
     "op3_exact_dedup": lambda spark, sf_dir: exact_dedup.query(spark, documents(spark, sf_dir)),
+    "op4_nearest_neighbours": lambda spark, sf_dir: neighbours.query(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op8_source_mixing": lambda spark, sf_dir: mixing.query(spark, documents(spark, sf_dir)),
     "op9_packing": lambda spark, sf_dir: packing.query(spark, documents(spark, sf_dir)),
 }
@@ -16,5 +17,6 @@ QUERIES = {
 SQL = {
     "op2_language_id": lambda spark, sf_dir: language_id.query(spark, documents(spark, sf_dir)),
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_nearest_neighbours": lambda spark, sf_dir: neighbours.query(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op8_source_mixing": mixing.SQL,
 }
