@@ -44,7 +44,7 @@ from leadloom.llm.components import components
 from leadloom.llm.words import slices, words
 
 RARE = 64
-BLOCK = 1024
+BLOCK = 512
 #: Frequent tokens are dealt into n / CLASS classes, rounded to a power of two.
 CLASS = 16
 
