@@ -2,8 +2,7 @@
 
 Categories are predicted one after another, here low quality, then toxic. Each model is a
 logistic regression over which words ``[^\\x20\\x09-\\x0D]+`` (ASCII-lower-cased, without
-punctuation at the ends) a text has, hashed into ``WIDTH`` weights, and over the
-probabilities of all earlier categories. Later models are trained with out-of-fold
+punctuation at the ends) a text has and over the probabilities of all earlier categories. Later models are trained with out-of-fold
 probabilities: each sampled row's come from a model that was fitted without its fold.
 
 Training rows: at most ``SAMPLE`` labelled documents for each combination of labels, those
@@ -27,11 +26,11 @@ from pyspark.sql import Window as W
 from leadloom.llm.words import slices, words
 
 SAMPLE = 1500
-WIDTH = 1 << 16
 FOLDS = 5
-STEPS = 60
-#: A word counts only if so many sampled documents have it: rarer ones would be learned by heart.
-LEAST_DOCUMENTS = 4
+STEPS = 200
+#: A word counts only if so many sampled documents have it, and its share differs by so many standard errors between classes.
+LEAST_DOCUMENTS = 8
+LEAST_Z = 5.0
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -39,10 +38,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, bounds)``: row r has the distinct word hashes ``hashes[bounds[r]:bounds[r + 1]]``."""
     codes, bounds, distinct = words(column, lower_ascii=True)
     bare = pc.utf8_trim(distinct, PUNCTUATION).to_pylist()
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) % WIDTH for w in bare), np.int64, len(bare))
-    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    both = np.unique(rows * WIDTH + hashed[codes])
-    return both % WIDTH, np.concatenate(([0], np.cumsum(np.bincount(both // WIDTH, minlength=len(bounds) - 1))))
+    hashed, number = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in bare), np.uint64, len(bare)), return_inverse=True)
+    rows, width = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), max(1, len(hashed))
+    both = np.unique(rows * width + number[codes])
+    return hashed[both % width] if len(hashed) else hashed, np.concatenate(([0], np.cumsum(np.bincount(both // width, minlength=len(bounds) - 1))))
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -55,28 +54,47 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of words, of earlier categories' probabilities, and a bias."""
+    """Weights of the words that tell (by sorted hash), of earlier categories' probabilities, and a bias."""
 
     def __init__(self, earlier: int):
-        self.w, self.c, self.b = np.zeros(WIDTH), np.zeros(earlier), 0.0
+        self.keys, self.w, self.c, self.b = np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier), 0.0
+
+    def _weights(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.w[at], 0.0)
 
     def predict(self, hashes: np.ndarray, bounds: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        return _logistic(_sums(self.w[hashes], bounds) + earlier @ self.c + self.b)
+        return _logistic(_sums(self._weights(hashes), bounds) + earlier @ self.c + self.b)
 
     def fit(self, hashes, bounds, earlier, y, rows) -> Model:
-        """Full-batch descent with a step for each weight by its past gradients; classes weigh alike, words by documents."""
+        """Full-batch descent with a step for each weight by its past gradients.
+
+        Only words whose share of documents differs by ``LEAST_Z`` standard errors between the
+        classes have weights: with noisy labels, others would be learned by heart.
+        """
         y, n = y.astype(float), len(bounds) - 1
         use = np.zeros(n)
         use[rows] = 1
-        share = use * np.where(y == 1, 0.5 / max(1, (use * y).sum()), 0.5 / max(1, (use * (1 - y)).sum()))
         owner = np.repeat(np.arange(n), np.diff(bounds))
-        common = np.bincount(hashes, use[owner], WIDTH) >= LEAST_DOCUMENTS
-        sums = [np.full(WIDTH, 1e-8), np.full(len(self.c), 1e-8), 1e-8]
+        names, number = np.unique(hashes, return_inverse=True)
+        have, good = np.bincount(number, use[owner], len(names)), np.bincount(number, (use * y)[owner], len(names))
+        n1, n0 = max(1, (use * y).sum()), max(1, (use * (1 - y)).sum())
+        share = have / (n1 + n0)
+        z = (good / n1 - (have - good) / n0) / np.sqrt(np.maximum(1e-9, share * (1 - share)) * (1 / n1 + 1 / n0))
+        tells = (np.abs(z) >= LEAST_Z) & (have >= LEAST_DOCUMENTS)
+        self.keys, self.w = names[tells], np.zeros(int(tells.sum()))
+        place = np.cumsum(tells) - 1
+        kept = tells[number]
+        column, row = place[number[kept]], owner[kept]
+        sums = [np.full(len(self.w), 1e-8), np.full(len(self.c), 1e-8), 1e-8]
         for _ in range(STEPS):
-            error = share * (self.predict(hashes, bounds, earlier) - y)
-            for k, g in enumerate((np.where(common, np.bincount(hashes, error[owner], WIDTH) + 1e-4 * self.w, 0), earlier.T @ error, error.sum())):
+            p = _logistic(np.bincount(row, self.w[column], n) + earlier @ self.c + self.b)
+            error = use * (p - y) / (n1 + n0)
+            for k, g in enumerate((np.bincount(column, error[row], len(self.w)) + 1e-4 * self.w, earlier.T @ error, error.sum())):
                 sums[k] = sums[k] + g * g
-                step = 0.3 * g / np.sqrt(sums[k])
+                step = 0.5 * g / np.sqrt(sums[k])
                 if k == 0:
                     self.w -= step
                 elif k == 1:
@@ -108,24 +126,24 @@ def sample(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataFra
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> list[Model] | None:
-    schema = "id long, hashes array<int>, " + ", ".join(f"{c} int" for c in categories)
+    schema = "id long, hashes array<long>, " + ", ".join(f"{c} int" for c in categories)
 
     def read(batches):
         for batch in slices(batches, "text"):
             h, bounds = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(bounds.astype(np.int32), h.astype(np.int32)), *(batch.column(c).cast(pa.int32()) for c in categories)], ["id", "hashes", *categories])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(bounds.astype(np.int32), h.view(np.int64)), *(batch.column(c).cast(pa.int32()) for c in categories)], ["id", "hashes", *categories])
 
     rows = sorted(sample(docs, labels, categories).mapInArrow(read, schema).toLocalIterator(), key=lambda r: r.id)
     if not rows:
         return None
-    hashes = np.concatenate([np.array(r.hashes, np.int64) for r in rows])
+    hashes = np.concatenate([np.array(r.hashes, np.int64) for r in rows]).view(np.uint64)
     bounds = np.concatenate(([0], np.cumsum([len(r.hashes) for r in rows])))
     fold = np.array([xxhash.xxh3_64_intdigest(str(r.id)) % FOLDS for r in rows])
     return chain(hashes, bounds, np.array([[r[c] for c in categories] for r in rows]), fold)
 
 
 def predict(docs: DataFrame, models: list[Model] | None, categories: list[str]) -> DataFrame:
-    """``doc_id`` and ``p_<category>``. The weights, half a MB a category, go to the workers with the function."""
+    """``doc_id`` and ``p_<category>``. The models, some hundred words each, go to the workers with the function."""
 
     def run(batches):
         for batch in slices(batches, "text"):
