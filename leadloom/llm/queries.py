@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import chat, exact_dedup, language_id, mixing, neighbours, ngram_join, packing, toxicity, warc
+from leadloom.llm import chat, exact_dedup, language_id, line_dedup, mixing, neighbours, ngram_join, packing, toxicity, warc
 from leadloom.llm.common import documents
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_language_id": lambda spark, sf_dir: language_id.query(spark, documents(spark, sf_dir)),
     "op3_exact_dedup": lambda spark, sf_dir: exact_dedup.query(spark, documents(spark, sf_dir)),
     "op4_nearest_neighbours": lambda spark, sf_dir: neighbours.query(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "op5_line_dedup": lambda spark, sf_dir: line_dedup.query(spark, documents(spark, sf_dir)),
     "op6_toxicity": lambda spark, sf_dir: toxicity.query(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op7_chat_formatting": lambda spark, sf_dir: chat.query(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     "op8_source_mixing": lambda spark, sf_dir: mixing.query(spark, documents(spark, sf_dir)),
