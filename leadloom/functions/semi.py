@@ -11,14 +11,14 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.functions import patterns as P
 from leadloom.functions.classify import infer_tags
 from leadloom.functions.text import stripped
-from leadloom.functions.urls import normalize_url
+from leadloom.functions.urls import _let, normalize_url
 
 # ---- responses of a model ----
 
@@ -58,23 +58,29 @@ def candidate(item: Column, source_url: Column, website: Column) -> Column:
     """An object as a candidate struct: confidence within 0 and 1 (0.5 if it is none), a relative website resolved, tags inferred anew."""
     field = lambda k: stripped(F.coalesce(F.try_variant_get(item, f"$.{k}", "string"), F.lit("")))
     confidence = F.coalesce(F.try_variant_get(item, "$.confidence_score", "string").try_cast("double"), F.lit(0.5))
-    site = F.when(field("website") != "", field("website")).otherwise(stripped(website))
-    site = F.when((site == "") | F.startswith(site, F.lit("http")), site).otherwise(F.coalesce(normalize_url(site, website), website))
-    return F.struct(
-        field("business_name").alias("business_name"),
-        F.when(site != "", site).otherwise(website).alias("website"),
-        F.lower(field("email")).alias("email"),
-        field("phone").alias("phone"),
-        field("location").alias("location"),
-        field("niche").alias("niche"),
-        infer_tags(field("niche"), field("business_name")).alias("tags"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence_score"),
-        source_url.alias("source_url"),
+    read = F.struct(*(field(k).alias(k) for k in ("business_name", "email", "phone", "location", "niche")), confidence.alias("c"), F.when(field("website") != "", field("website")).otherwise(stripped(website)).alias("site"))
+    absolute_site = lambda s: F.when((s == "") | F.startswith(s, F.lit("http")), s).otherwise(F.coalesce(normalize_url(s, website), website))
+    return _let(
+        read,
+        lambda r: F.struct(
+            r["business_name"].alias("business_name"),
+            _let(absolute_site(r["site"]), lambda s: F.when(s != "", s).otherwise(website)).alias("website"),
+            F.lower(r["email"]).alias("email"),
+            r["phone"].alias("phone"),
+            r["location"].alias("location"),
+            r["niche"].alias("niche"),
+            infer_tags(r["niche"], r["business_name"]).alias("tags"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["c"])).alias("confidence_score"),
+            source_url.alias("source_url"),
+        ),
     )
 
 
-def response_candidates(raw: Column, source_url: Column, website: Column) -> Column:
-    return F.transform(lead_list(response_json(raw)), lambda item: candidate(item, source_url, website))
+def with_response(df: DataFrame, response: str, out: str, source: str = "source_url", website: str = "website") -> DataFrame:
+    """Adds ``out``, the candidates of a response column. Each step is a column, so that a response is parsed once."""
+    parsed = df.withColumn("_json", response_json(F.col(response)))
+    listed = parsed.withColumn("_items", lead_list(F.col("_json")))
+    return listed.withColumn(out, F.transform("_items", lambda item: candidate(item, F.col(source), F.col(website)))).drop("_json", "_items")
 
 
 def chosen_links(raw: Column, links: Column, k: int = 5) -> Column:

@@ -23,42 +23,53 @@ def _cleaned(url: Column) -> Column:
     return F.regexp_replace(stripped(url), r"[\t\r\n]", "")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where no common expression is shared: inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _checked(scheme: Column, authority: Column, path: Column, query: Column) -> Column:
     whole = F.concat(scheme, F.lit("://"), F.lower(authority), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(scheme.isin("http", "https") & (authority != ""), whole)
 
 
+def _split(url: Column) -> Column:
+    return F.struct(*(x.alias(k) for k, x in zip("sapq", _parts(url), strict=True)))
+
+
+def _folded(path: Column, base_path: Column) -> Column:
+    """A relative path against a base's: empty middle segments dropped, dot segments folded."""
+    above = _let(F.split(base_path, "/"), lambda x: F.when(F.element_at(x, -1) != "", F.slice(x, 1, F.greatest(F.lit(0), F.size(x) - 1))).otherwise(x))
+    joined = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(F.concat(above, F.split(path, "/")))
+    middle = lambda x: F.filter(F.slice(x, 2, F.size(x) - 2), lambda s: s != "")
+    clean = _let(joined, lambda x: F.when(F.size(x) > 2, F.concat(F.slice(x, 1, 1), middle(x), F.slice(x, -1, 1))).otherwise(x))
+
+    def fold(x: Column) -> Column:
+        step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+        out = F.aggregate(x, F.array().cast("array<string>"), step)
+        return F.array_join(F.when(F.element_at(x, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out), "/")
+
+    return _let(clean, fold)
+
+
 def normalize_url(url: Column, base: Column | None = None) -> Column:
     """Absolute http(s) URL with lower-case scheme and authority, ``/`` for an empty path and no fragment; else null.
 
     With ``base``, relative references are resolved first: scheme-relative, root-relative and
     path-relative ones (dot segments folded on the path's segments), and bare queries.
     """
-    clean = _cleaned(url)
-    scheme, authority, path, query = _parts(clean)
     if base is None:
-        return F.when(clean != "", _checked(scheme, authority, path, query))
-    b_scheme, b_authority, b_path, b_query = _parts(_cleaned(base))
-    bare = (path == "") & (authority == "")
-    segments = F.split(path, "/")
-    above = F.split(b_path, "/")
-    above = F.when(F.element_at(above, -1) != "", F.slice(above, 1, F.greatest(F.lit(0), F.size(above) - 1))).otherwise(above)
-    joined = F.when(F.startswith(path, F.lit("/")), segments).otherwise(F.concat(above, segments))
-    middle = F.filter(F.slice(joined, 2, F.greatest(F.lit(0), F.size(joined) - 2)), lambda s: s != "")
-    joined = F.when(F.size(joined) > 2, F.concat(F.slice(joined, 1, 1), middle, F.slice(joined, -1, 1))).otherwise(joined)
-    folded = F.aggregate(
-        joined,
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
-    )
-    folded = F.when(F.element_at(joined, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    resolved = F.array_join(folded, "/")
-    relative = (authority == "") & ((scheme == "") | (scheme == b_scheme))
-    out = F.when(
-        relative,
-        _checked(b_scheme, b_authority, F.when(bare, b_path).otherwise(resolved), F.when(bare & (query == ""), b_query).otherwise(query)),
-    ).otherwise(_checked(F.when(scheme == "", b_scheme).otherwise(scheme), authority, path, query))
-    return F.when(clean != "", out)
+        return _let(_split(_cleaned(url)), lambda u: _checked(u["s"], u["a"], u["p"], u["q"]))
+
+    def against(u: Column, b: Column) -> Column:
+        bare = (u["p"] == "") & (u["a"] == "")
+        relative = (u["a"] == "") & ((u["s"] == "") | (u["s"] == b["s"]))
+        path = F.when(bare, b["p"]).otherwise(_folded(u["p"], b["p"]))
+        inside = _checked(b["s"], b["a"], path, F.when(bare & (u["q"] == ""), b["q"]).otherwise(u["q"]))
+        return F.when(relative, inside).otherwise(_checked(F.when(u["s"] == "", b["s"]).otherwise(u["s"]), u["a"], u["p"], u["q"]))
+
+    both = F.struct(_cleaned(url).alias("text"), _cleaned(base).alias("base"))
+    return _let(both, lambda x: F.when(x["text"] != "", _let(F.struct(_split(x["text"]).alias("u"), _split(x["base"]).alias("b")), lambda y: against(y["u"], y["b"]))))
 
 
 def registrable_domain(url: Column) -> Column:

@@ -39,28 +39,30 @@ def heuristic(df: DataFrame, text: str = "text", source: str = "source_url", web
     return found.select(*kept, F.posexplode(rows).alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")
 
 
-def fallback_rows(text: Column, source: Column, website: Column) -> Column:
-    """Array of candidates by patterns alone: e-mails, else phones, else URLs; names from the host."""
-    mails, numbers, urls = entities.emails(text), entities.phones(text), urls_in_text(text)
+def with_fallback(df: DataFrame, text: str = "text", source: str = "source_url", website: str = "website") -> DataFrame:
+    """Adds ``_f``, candidates by patterns alone: e-mails, else phones, else URLs; names from the host. In steps, so that nothing is computed twice."""
     nonblank = lambda c: F.when(c != "", c)
-    site = F.coalesce(nonblank(website), nonblank(source), F.try_element_at(urls, F.lit(1)), F.lit(""))
-    site = F.when((site == "") | F.startswith(site, F.lit("http")), site).otherwise(F.coalesce(normalize_url(site), site))
+    out = with_contacts(df, text).withColumn("_urls", urls_in_text(F.col(text)))
+    out = out.withColumn("_site", F.coalesce(nonblank(F.col(website)), nonblank(F.col(source)), F.try_element_at(F.col("_urls"), F.lit(1)), F.lit("")))
+    site = F.col("_site")
+    out = out.withColumn("_site", F.when((site == "") | F.startswith(site, F.lit("http")), site).otherwise(F.coalesce(normalize_url(site), site)))
     name = title_case(F.replace(F.replace(registrable_domain(site), F.lit("."), F.lit(" ")), F.lit("-"), F.lit(" ")))
-    name = F.when(name == "", F.lit("Business")).otherwise(name)
-    first = F.coalesce(F.try_element_at(numbers, F.lit(1)), F.lit(""))
-    tags = classify.infer_tags(F.lit(""), name)
-    row = lambda w, e, p, c: _row(name, w, e, p, F.lit(""), tags, F.lit(c), source)
-    return (
-        F.when(F.size(mails) > 0, F.transform(F.slice(mails, 1, 5), lambda e: row(site, e, first, 0.55)))
-        .when(F.size(numbers) > 0, F.transform(F.slice(numbers, 1, 3), lambda p: row(site, F.lit(""), p, 0.5)))
-        .otherwise(F.array_distinct(F.transform(F.slice(urls, 1, 3), lambda u: row(F.coalesce(normalize_url(u), u), F.lit(""), F.lit(""), 0.45))))
+    out = out.withColumn("_name", name).withColumn("_name", F.coalesce(nonblank(F.col("_name")), F.lit("Business")))
+    out = out.withColumn("_tags", classify.infer_tags(F.lit(""), F.col("_name")))
+    first = F.coalesce(F.try_element_at(F.col("phones"), F.lit(1)), F.lit(""))
+    row = lambda w, e, p, c: _row(F.col("_name"), w, e, p, F.lit(""), F.col("_tags"), F.lit(c), F.col(source))
+    rows = (
+        F.when(F.size("emails") > 0, F.transform(F.slice("emails", 1, 5), lambda e: row(site, e, first, 0.55)))
+        .when(F.size("phones") > 0, F.transform(F.slice("phones", 1, 3), lambda p: row(site, F.lit(""), p, 0.5)))
+        .otherwise(F.array_distinct(F.transform(F.slice("_urls", 1, 3), lambda u: row(F.coalesce(normalize_url(u), u), F.lit(""), F.lit(""), 0.45))))
     )
+    return out.withColumn("_f", rows).drop("emails", "phones", "_urls", "_site", "_name", "_tags")
 
 
 def fallback(df: DataFrame, text: str = "text", source: str = "source_url", website: str = "website") -> DataFrame:
     kept = [c for c in df.columns if c not in (text, source, website, *FIELDS)]
-    rows = fallback_rows(F.col(text), F.col(source), F.col(website))
-    return df.select(*kept, F.posexplode(rows).alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")
+    rows = with_fallback(df, text, source, website)
+    return rows.select(*kept, F.posexplode("_f").alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")
 
 
 def model_or_heuristic(df: DataFrame, responses: list[str], text: str = "text", source: str = "source_url", website: str = "website") -> DataFrame:
@@ -69,10 +71,11 @@ def model_or_heuristic(df: DataFrame, responses: list[str], text: str = "text",
     ``responses``: columns with the answers to the first, the repair and the strict prompt. All
     are columns of one row, so nothing is joined.
     """
-    t, w, s = F.col(text), F.col(website), F.col(source)
-    answers = [semi.response_candidates(F.col(r), s, w) for r in responses]
     kept = [c for c in df.columns if c not in (text, source, website, *responses, *FIELDS)]
-    some = df.select("*", *(a.alias(f"_a{i}") for i, a in enumerate(answers)), fallback_rows(t, s, w).alias("_f"))
+    some = with_fallback(df, text, source, website)
+    for i, r in enumerate(responses):
+        some = semi.with_response(some, r, f"_a{i}", source, website)
+    answers = responses
     model = F.coalesce(*(F.when(F.size(f"_a{i}") > 0, F.col(f"_a{i}")) for i in range(len(answers))), F.slice("_f", 1, 0))
     both = some.withColumn("_rows", F.concat(model, F.col("_f")))
     given = both.filter(F.size("_rows") > 0).select(*kept, F.posexplode("_rows").alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")

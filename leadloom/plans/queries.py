@@ -314,8 +314,8 @@ def crawl_bfs(spark, sf_dir):
     from pyspark.sql import Window as W
 
     by = W.partitionBy("host").orderBy("page_id")
-    at = pages.withColumn("n", F.row_number().over(by))
-    edges = at.select(F.col("url").alias("src"), F.explode(F.array(*(F.struct(F.lit(k).alias("link_ord"), F.lead("url", k).over(by).alias("dst")) for k in range(1, 6)))).alias("e")).select("src", "e.dst", "e.link_ord").filter("dst IS NOT NULL")
+    at = pages.dropDuplicates(["url"]).withColumn("n", F.row_number().over(by)).withColumns({f"to{k}": F.lead("url", k).over(by) for k in range(1, 6)})
+    edges = at.select(F.col("url").alias("src"), F.posexplode(F.array(*(f"to{k}" for k in range(1, 6)))).alias("link_ord", "dst")).filter("dst IS NOT NULL")
     roots = at.filter("n = 1").select("url")
     return G.crawl(roots, edges, max_depth=3)
 
@@ -476,7 +476,7 @@ _RESPONSE_FIELDS = "'Firm ' || doc_id AS business_name, 'https://' || source ||
 def parse_llm_json(spark, sf_dir):
     """Fenced arrays with a trailing comma, wrapped lists and single objects parse; the others give no rows."""
     df = _responses(spark, sf_dir)
-    rows = df.select("doc_id", F.explode(semi.response_candidates(F.col("r1"), F.col("source_url"), F.col("website"))).alias("c"))
+    rows = semi.with_response(df, "r1", "rows").select("doc_id", F.explode("rows").alias("c"))
     return rows.select("doc_id", "c.business_name", "c.website", "c.email", "c.confidence_score")
 
 
@@ -532,9 +532,11 @@ _P4, _P3 = "lpad((page_id % 10000)::VARCHAR, 4, '0')", "lpad((page_id % 1000)::V
 
 @query(
     f"SELECT page_id, 'Cafe ' || page_id AS name, 'c' || page_id || '@cafe.example' AS email, '(415) 555-' || {_P4} AS phone, page_id || ' Main St, Springfield' AS address, ['https://facebook.com/c' || page_id] AS social FROM pages "
-    f"UNION ALL SELECT page_id, 'Listed ' || page_id, 'l@list.example', '(212) 555-0' || {_P3}, '', [] FROM pages"
+    f"UNION ALL SELECT page_id, 'Listed ' || page_id, 'l@list.example', '(212) 555-0' || {_P3}, '', [] FROM pages "
+    f"UNION ALL SELECT page_id, 'Cafe ' || page_id, 'c' || page_id || '@cafe.example', '(212) 555-0' || {_P3}, '', [] FROM pages"
 )
 def listing_records(spark, sf_dir):
+    """A listing scan also takes the JSON-LD's name, since a phone follows it within its window: three records a page."""
     return _page_data(spark, sf_dir).select("page_id", F.explode("listings").alias("r")).select("page_id", "r.*")
 
 
