@@ -19,9 +19,7 @@ QUERIES = {
 }
 
 SQL = {
-    "op2_language_id": lambda spark, sf_dir: language_id.query(spark, documents(spark, sf_dir)),
     "op3_exact_dedup": exact_dedup.SQL,
-    "op4_nearest_neighbours": lambda spark, sf_dir: neighbours.query(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op7_chat_formatting": chat.SQL,
     "op8_source_mixing": mixing.SQL,
     "op10_warc_revisits": warc.SQL,
