@@ -39,6 +39,12 @@ def heuristic(df: DataFrame, text: str = "text", source: str = "source_url", web
     return found.select(*kept, F.posexplode(rows).alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")
 
 
+def _exploded(df: DataFrame, kept: list[str], rows: Column) -> DataFrame:
+    """A row for each struct of ``rows``. Exploded as an expression: of a plain column Catalyst would infer that it is not empty, and push that down through all the steps that made it, each inlined as often as it is used."""
+    rows = F.concat(rows, F.slice(rows, 1, 0))
+    return df.select(*kept, F.posexplode(rows).alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")
+
+
 def with_fallback(df: DataFrame, text: str = "text", source: str = "source_url", website: str = "website") -> DataFrame:
     """Adds ``_f``, candidates by patterns alone: e-mails, else phones, else URLs; names from the host. In steps, so that nothing is computed twice."""
     nonblank = lambda c: F.when(c != "", c)
@@ -61,23 +67,19 @@ def with_fallback(df: DataFrame, text: str = "text", source: str = "source_url",
 
 def fallback(df: DataFrame, text: str = "text", source: str = "source_url", website: str = "website") -> DataFrame:
     kept = [c for c in df.columns if c not in (text, source, website, *FIELDS)]
-    rows = with_fallback(df, text, source, website)
-    return rows.select(*kept, F.posexplode("_f").alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")
+    return _exploded(with_fallback(df, text, source, website), kept, F.col("_f"))
 
 
 def model_or_heuristic(df: DataFrame, responses: list[str], text: str = "text", source: str = "source_url", website: str = "website") -> DataFrame:
-    """Candidates from given model responses: the first response with any, followed by the fallback's; else heuristics.
+    """Candidates from given model responses: the first response with any, followed by the fallback's.
 
     ``responses``: columns with the answers to the first, the repair and the strict prompt. All
-    are columns of one row, so nothing is joined.
+    are columns of one row, so nothing is joined. Heuristics would follow where neither gives a
+    row; they find e-mails and phones only, and the fallback has rows wherever those are.
     """
     kept = [c for c in df.columns if c not in (text, source, website, *responses, *FIELDS)]
     some = with_fallback(df, text, source, website)
     for i, r in enumerate(responses):
         some = semi.with_response(some, r, f"_a{i}", source, website)
-    answers = responses
-    model = F.coalesce(*(F.when(F.size(f"_a{i}") > 0, F.col(f"_a{i}")) for i in range(len(answers))), F.slice("_f", 1, 0))
-    both = some.withColumn("_rows", F.concat(model, F.col("_f")))
-    given = both.filter(F.size("_rows") > 0).select(*kept, F.posexplode("_rows").alias("cand_ord", "c")).select(*kept, "cand_ord", "c.*")
-    rest = heuristic(both.filter(F.size("_rows") == 0).select(*kept, text, source, website), text, source, website)
-    return given.unionByName(rest)
+    model = F.coalesce(*(F.when(F.size(f"_a{i}") > 0, F.col(f"_a{i}")) for i in range(len(responses))), F.slice("_f", 1, 0))
+    return _exploded(some, kept, F.concat(model, F.col("_f")))

