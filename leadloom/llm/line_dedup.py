@@ -11,7 +11,10 @@ bit-parallel edit distance, many pairs at once, and links become classes.
 Lines are what newlines separate, without white space at the ends, told apart by a 64-bit
 hash. Equal lines are one row from the slice on.
 
-Defined results: lines of fewer than ``shortest`` characters are always kept and not
+Lines of fewer than ``shortest`` characters are no part of the edit join; from ``exact``
+characters on, equal ones are one class all the same. The query takes every line that is not blank.
+
+Defined results: lines of fewer than ``exact`` characters are always kept and not
 compared; null and empty texts have no lines; order is by document id, then line, so the
 class member that stays is the first in the corpus; rows that repeat an id share its lines'
 places, and of equal places one is counted as first; rows with a null id come before all
@@ -35,6 +38,8 @@ from leadloom.llm.words import slices
 
 EDITS = 2
 SHORTEST = 32
+#: The query compares equal lines from so many characters on: all but blank ones.
+EXACT = 1
 BLOCK = 256
 #: Characters of the pairs that are verified at once, which bounds a task's memory.
 AT_ONCE = 1 << 21
@@ -128,10 +133,10 @@ def links(texts: list[str], edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _listed(shortest: int):
+def _listed(exact: int):
     def run(batches):
         for batch in slices(batches, "text"):
-            rows = [(i, k, name(x) if len(x) >= shortest else None) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for k, x in enumerate(lines_of(t))]
+            rows = [(i, k, name(x) if len(x) >= exact else None) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for k, x in enumerate(lines_of(t))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "line_no", "line"])
 
     return run
@@ -200,14 +205,17 @@ def _verified(edits: int):
     return run
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
-    """``doc_id, line_no, line, keep_doc, keep_line`` of every line: where its class first occurs (itself, if it is kept)."""
+def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, block: int = BLOCK, exact: int | None = None) -> DataFrame:
+    """``doc_id, line_no, line, keep_doc, keep_line`` of every line: where its class first occurs (itself, if it is kept).
+
+    Lines of ``exact`` characters or more, ``shortest`` if not given, are compared with equal ones.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not 0 <= edits < shortest:
         raise ValueError("lines must be longer than the edits allowed")
     texts = docs.selectExpr("cast(doc_id as long) id", "text")
-    every = written(texts.mapInArrow(_listed(shortest), "doc_id long, line_no long, line long"), "lines")
+    every = written(texts.mapInArrow(_listed(shortest if exact is None else exact), "doc_id long, line_no long, line long"), "lines")
     met = texts.mapInArrow(_keyed(edits, shortest), "key long, kind byte, line long").repartition(parts, "key").sortWithinPartitions("key", "kind")
     sets = written(components(met.mapInArrow(_starred, "a long, b long").distinct(), "line-candidates"), "line-sets")
 
@@ -231,7 +239,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST,
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row a document: how many lines it has and how many of them go."""
     gone = ~(F.col("keep_doc").eqNullSafe(F.col("doc_id")) & (F.col("keep_line") == F.col("line_no")))
-    counts = line_classes(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(gone).alias("n_dropped"))
+    counts = line_classes(docs, exact=EXACT).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(gone).alias("n_dropped"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(counts.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", zero("n_lines"), zero("n_dropped"))
@@ -239,7 +247,7 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with the lines that go taken out of their texts."""
-    gone = line_classes(docs).filter("keep_doc <> doc_id OR keep_line <> line_no").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_classes(docs, exact=EXACT).filter("keep_doc <> doc_id OR keep_line <> line_no").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     rows = docs.join(gone, "doc_id", "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<bigint>")), i.cast("long"))), "\n")
     return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(docs.columns)

@@ -159,6 +159,13 @@ def test_lines_are_brute_force(spark):
     assert {k: v for k, v in found.items() if texts[k[0]]} == expected
 
 
+def test_short_equal_lines_go(spark):
+    texts = ["Of.\none line\n\nOf.", "All rights reserved.\n\n Of. \nOff.", "x\nAll rights reserved.\n"]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.query(spark, docs_of(spark, texts)).collect()}
+    assert got == {0: (4, 1), 1: (4, 1), 2: (3, 1)}
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(docs_of(spark, texts)).collect()} == {0: "Of.\none line\n", 1: "All rights reserved.\n\nOff.", 2: "x\n"}
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.query(spark, docs, labels).collect()}
