@@ -237,12 +237,18 @@ def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST,
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row a document: how many lines it has and how many of them go."""
+    """One row a document: how many lines it has, how many of them go, and ``dropped``, each place that goes with the place that stays for it.
+
+    A class is what shares a place that stays. Rows that repeat an id share one list, in which a place stands once for each that stays for it.
+    """
     gone = ~(F.col("keep_doc").eqNullSafe(F.col("doc_id")) & (F.col("keep_line") == F.col("line_no")))
-    counts = line_classes(docs, exact=EXACT).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(gone).alias("n_dropped"))
+    places = F.sort_array(F.collect_set(F.when(gone, F.struct("line_no", "keep_doc", "keep_line")))).alias("dropped")
+    counts = line_classes(docs, exact=EXACT).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(gone).alias("n_dropped"), places)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.join(counts.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", zero("n_lines"), zero("n_dropped"))
+    none = F.array().cast("array<struct<line_no:bigint,keep_doc:bigint,keep_line:bigint>>")
+    rows = ids.join(counts.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    return rows.select("doc_id", zero("n_lines"), zero("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

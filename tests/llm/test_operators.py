@@ -166,6 +166,14 @@ def test_short_equal_lines_go(spark):
     assert {r.doc_id: r.text for r in line_dedup.deduplicated(docs_of(spark, texts)).collect()} == {0: "Of.\none line\n", 1: "All rights reserved.\n\nOff.", 2: "x\n"}
 
 
+def test_line_query_returns_the_classes(spark):
+    near = "a line that is long enough to be compared fuzzily"
+    texts = [None, f"{near}\nOf.\n", f"Of.\n{near}!", f"own\n\n{near}?\nown"]
+    rows = {r.doc_id: r for r in line_dedup.query(spark, docs_of(spark, texts)).collect()}
+    assert {k: list(map(tuple, r.dropped)) for k, r in rows.items()} == {0: [], 1: [], 2: [(0, 1, 1), (1, 1, 0)], 3: [(2, 1, 0), (3, 3, 0)]}
+    assert all(r.n_dropped == len(r.dropped) for r in rows.values())
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.query(spark, docs, labels).collect()}
