@@ -12,6 +12,13 @@ Rows for training: text and label are not null and crc32(id as text) mod 4 is no
 each label the ``SAMPLE_DOCS`` with the smallest digest of their id. Label, source and id
 are no inputs of a prediction.
 
+The pipeline's stage trains the network with one label more, for what is none of the
+languages: made-up pieces of shuffled words, random letters and digits, one repeated
+character and letters of many scripts. A text's evidence is the mean over its bytes of the log
+probability of its best language less that of none; a text whose evidence is below a
+threshold goes. The threshold is ``MARGIN`` below the ``LOW`` quantile of the evidence of
+the labelled documents sampled, so that clean ones stay.
+
 Defined results: null text, or text without a letter, is ``und`` with score 0; a
 document's score is its label's pooled probability; the pool is a mean over positions
 times ``EVIDENCE``, so it stays a soft probability however long the text; with one
@@ -41,6 +48,12 @@ RATE = 0.01
 #: How many positions' worth of evidence a whole document counts as in its pooled probability.
 EVIDENCE = 16.0
 UNKNOWN = "und"
+#: Made-up pieces, and the blocks of Unicode whose characters some of them are drawn from.
+OTHERS = 6000
+SCRIPTS = ((0x61, 0x7A), (0x30, 0x39), (0x21, 0x40), (0xC0, 0x17F), (0x370, 0x3FF), (0x400, 0x45F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x900, 0x940), (0xE00, 0xE30), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+#: Evidence is in nats a byte.
+LOW = 0.01
+MARGIN = 4.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -140,14 +153,19 @@ def train(pieces: list[bytes], label: np.ndarray, weight: np.ndarray, labels: li
     return net
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """``label, piece, weight``: whole words of the sampled documents and how often they occur, the commonest of each label."""
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """``id, label, text`` of the labelled documents that are sampled."""
     i = F.col(id_col).cast("string")
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(i) % 4 != 2))
     # Ids are drawn before any text is read for it.
-    drawn = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("at", F.row_number().over(W.partitionBy("label").orderBy(F.md5(F.col("id").cast("string")), "id")))
-    drawn = drawn.filter(F.col("at") <= SAMPLE_DOCS).select("id", "label").distinct()
-    texts = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).join(F.broadcast(drawn), ["id", "label"])
+    ids = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("at", F.row_number().over(W.partitionBy("label").orderBy(F.md5(F.col("id").cast("string")), "id")))
+    ids = ids.filter(F.col("at") <= SAMPLE_DOCS).select("id", "label").distinct()
+    return rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).join(F.broadcast(ids), ["id", "label"])
+
+
+def sample(docs: DataFrame, **columns) -> DataFrame:
+    """``label, piece, weight``: whole words of the sampled documents and how often they occur, the commonest of each label."""
+    texts = drawn(docs, **columns)
 
     def split(batches):
         for batch in slices(batches, "text"):
@@ -168,17 +186,39 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     return found.withColumn("at", most).filter(F.col("at") <= SAMPLE_PIECES).drop("at")
 
 
-def fit(docs: DataFrame, **columns) -> ByteGru | None:
+def others(pieces: list[bytes], seed: int = 13) -> list[bytes]:
+    """Made-up pieces that are no language's: the given ones shuffled, random characters, letters of one script, one character repeated."""
+    rng, out = np.random.default_rng(seed), set()
+    plain = [chr(c) for c in (*range(0x61, 0x7B), *range(0x30, 0x3A))]
+    for i in range(OTHERS):
+        if i % 3 == 0:
+            made = list(pieces[int(rng.integers(len(pieces)))].decode("utf-8", "ignore"))
+            rng.shuffle(made)
+        elif i % 3 == 1:
+            low, high = SCRIPTS[int(rng.integers(len(SCRIPTS)))]
+            made = map(chr, rng.integers(low, high + 1, int(rng.integers(1, 13))))
+        else:
+            made = [plain[k] for k in rng.integers(len(plain), size=int(rng.integers(2, PIECE + 1)))]
+            made = made[:1] * len(made) if i % 12 == 2 else made
+        word = "".join(made).encode()
+        out.update(word[a : a + PIECE] for a in range(0, len(word), PIECE))
+    return sorted({x for x in out if len(x) > 1} - set(pieces))
+
+
+def fit(docs: DataFrame, other: bool = False, **columns) -> ByteGru | None:
+    """The network of the labels found; with ``other``, and of ``UNKNOWN``, learned from made-up pieces."""
     rows = sorted(sample(docs, **columns).toLocalIterator(), key=lambda r: (r.label, bytes(r.piece)))
-    labels = sorted({r.label for r in rows})
-    if not labels:
+    labels = sorted({r.label for r in rows} | ({UNKNOWN} if other and rows else set()))
+    if not set(labels) - ({UNKNOWN} if other else set()):
         return None
     number = {x: i for i, x in enumerate(labels)}
-    return train([bytes(r.piece) for r in rows], np.array([number[r.label] for r in rows]), np.array([r.weight for r in rows], float), labels)
+    pieces, label, weight = [bytes(r.piece) for r in rows], [number[r.label] for r in rows], [r.weight for r in rows]
+    made = others(pieces) if other else []
+    return train(pieces + made, np.array(label + [number[UNKNOWN]] * len(made) if made else label), np.array(weight + [1] * len(made), float), labels)
 
 
-def pooled(net: ByteGru, column: pa.Array) -> np.ndarray:
-    """Probabilities of each text, ``(rows, labels)``."""
+def pooled(net: ByteGru, column: pa.Array, most: float = EVIDENCE) -> np.ndarray:
+    """Log probabilities of each text, ``(rows, labels)``, but for a constant: the mean over its bytes times their number, ``most`` at most."""
     codes, bounds, distinct = words(column, lower_ascii=True)
     strings = distinct.cast(pa.large_binary()).to_pylist()
     owner, pieces = [], []
@@ -200,11 +240,27 @@ def pooled(net: ByteGru, column: pa.Array) -> np.ndarray:
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         sums[full] = np.add.reduceat(table[codes], bounds[:-1][full], axis=0)
-    mean = sums[:, :-1] / np.maximum(1, sums[:, -1:]) * np.minimum(EVIDENCE, np.maximum(1, sums[:, -1:]))
+    return sums[:, :-1] / np.maximum(1, sums[:, -1:]) * np.minimum(most, np.maximum(1, sums[:, -1:]))
+
+
+def probabilities(net: ByteGru, column: pa.Array) -> np.ndarray:
+    """Probabilities of each text, ``(rows, labels)``."""
+    mean = pooled(net, column)
     mean = np.exp(mean - mean.max(1, keepdims=True))
     return mean / mean.sum(1, keepdims=True)
 
 
+def lettered(column: pa.Array) -> pa.Array:
+    return pc.fill_null(pc.match_substring_regex(column, r"\pL"), False)
+
+
+def evidence(net: ByteGru, column: pa.Array) -> np.ndarray:
+    """Of a network with ``UNKNOWN``: how much likelier a byte of each text is of the text's best language than of none, in nats."""
+    at = net.labels.index(UNKNOWN)
+    mean = pooled(net, column, 1)
+    return np.delete(mean, at, 1).max(1) - mean[:, at]
+
+
 def positions(net: ByteGru, text: str) -> list[list[str]]:
     """The label of every byte of every piece of a text."""
     pieces = [w[a : a + PIECE] for w in (x.encode() for x in text.split()) for a in range(0, len(w), PIECE)]
@@ -220,11 +276,11 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
     def run(batches):
         for batch in slices(batches, "text"):
             text = batch.column("text")
-            known = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False)
+            known = lettered(text)
             if net is None:
                 label, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             else:
-                p = pooled(net, text)
+                p = probabilities(net, text)
                 ok = np.asarray(known)
                 label = [net.labels[k] if o else UNKNOWN for k, o in zip(p.argmax(1), ok, strict=True)]
                 score = p.max(1) * ok
@@ -238,7 +294,28 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def threshold(docs: DataFrame, net: ByteGru) -> float:
+    def run(batches):
+        for batch in slices(batches, "text"):
+            ok = batch.filter(lettered(batch.column("text")))
+            if ok.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(evidence(net, ok.column("text")))], ["evidence"])
+
+    texts = drawn(docs).filter(F.col("label") != UNKNOWN).select("text")
+    found = [r.evidence for r in texts.mapInArrow(run, "evidence double").collect()]  # SAMPLE_DOCS for each label at most
+    return float(np.quantile(found, LOW)) - MARGIN if found else 0.0
+
+
 def kept(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents whose language is not known go."""
-    gone = identify(docs, fit(docs)).filter(F.col("lang_pred") == UNKNOWN).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: documents in none of the languages learned go, each row by its own text."""
+    net = fit(docs, other=True)
+    if net is None:
+        return docs.filter(F.lit(False))
+    least = threshold(docs, net)
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            text = batch.column("text")
+            yield batch.filter(pa.array(np.asarray(lettered(text)) & (evidence(net, text) >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

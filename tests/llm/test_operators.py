@@ -174,6 +174,20 @@ def test_line_query_returns_the_classes(spark):
     assert all(r.n_dropped == len(r.dropped) for r in rows.values())
 
 
+def test_language_stage_drops_what_is_no_language(spark):
+    clean = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rng = np.random.default_rng(4)
+    drawn = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    noise = [" ".join(drawn("abcdefghijklmnopqrstuvwxyz", 7) for _ in range(40)), drawn("bcdfgjkqxz", 300), drawn("абвгдежзиклмнопрст ", 300), drawn("0123456789 ", 300) + "x",
+             "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 200))), "hyvää päivää kaikille ystäville jotka ovat tulleet tänne katsomaan kuinka talvi saapuu pohjoiseen", "123 ...", None]
+    # Of rows that share an id, or have none, each goes or stays by its own text.
+    more = [(10**6 + i if i % 2 else None, t, None, "s", 0) for i, t in enumerate(noise)] + [(10**6 + 1, clean[0][1], None, "s", 0), (None, clean[1][1], None, "s", 0)]
+    got = language_id.kept(spark.createDataFrame(clean + more, DOCS)).collect()
+    texts = {r.text for r in got}
+    assert not texts & set(noise)
+    assert len(got) >= len(clean) + 2 - 1 and {(10**6 + 1, clean[0][1]), (None, clean[1][1])} <= {(r.doc_id, r.text) for r in got}
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.query(spark, docs, labels).collect()}
