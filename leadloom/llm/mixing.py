@@ -34,9 +34,9 @@ STRATUM = 4096
 SEED = "mix-1"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``, written once: texts are read once."""
-    return written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, source, size`` and ``more``, written once: texts are read once."""
+    return written(docs.select(*more, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -54,22 +54,23 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     return per.select("source", "source_size", "n_docs", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def mix(sized: DataFrame, seed: str = SEED, **how) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and ``whole``, the epochs of the whole document in ``taken``."""
+def mix(sized: DataFrame, seed: str = SEED, row: str | None = None, **how) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` and ``whole``, the epochs of the whole document in ``taken``; and ``row``, which tells rows of equal id and size apart."""
+    more = [row] if row else []
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("null"))
     # Written, the table of sources has a known size: Spark broadcasts it below its threshold and else joins by key.
     per = written(targets(sized, **how).select(key(F.col("source")).alias("key"), "source_size", "n_docs", "target"), "targets")
-    rows = sized.select("doc_id", "size", key(F.col("source")).alias("key")).join(per, "key")
+    rows = sized.select(*more, "doc_id", "size", key(F.col("source")).alias("key")).join(per, "key")
     rows = rows.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor("rate"))
     rows = rows.withColumn("draw", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("doc_id").cast("string"))))
     strata = F.ceil(F.col("n_docs") / STRATUM)
     rows = rows.withColumn("stratum", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % strata)
     # One column: a join dealt by "key" alone would else be taken as dealt for the window, a hot source in one task.
     one = W.partitionBy(F.concat_ws(":", "stratum", "key"))
-    upto = F.sum("size").over(one.orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("size").over(one.orderBy("draw", "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, 0))
     quota = F.floor((F.col("rate") - F.col("whole")) * F.sum("size").over(one) + 0.5)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), quota - upto + F.col("size")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "whole")
+    return rows.select(*more, "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "whole")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -77,14 +78,18 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it; a last repetition in part has its first words."""
-    taken = mix(sizes(docs)).filter("taken > 0").select("doc_id", "taken", "size")
-    rows = docs.join(taken, "doc_id")
-    parts = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    rows = rows.withColumn("epoch", F.explode(parts)).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size")).cast("int"))
-    head = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), F.lit(1), F.col("words")))
-    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(head)
-    cut = {"text": text} | ({"n_chars": F.when(F.col("words") == F.col("size"), F.col("n_chars")).otherwise(F.length(head).cast("long"))} if "n_chars" in docs.columns else {})
+    """Pipeline stage: each row as often as the mix takes it; a last repetition in part has its first words.
+
+    Rows are numbered and written, so that each meets its own share, whether its id is null or repeated.
+    """
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(sizes(numbered, "_row"), row="_row").filter("taken > 0").select("_row", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    rows = numbered.join(taken, "_row")
+    parts = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
+    rows = rows.withColumn("_epoch", F.explode(parts)).withColumn("_words", F.least(F.col("_size"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size")).cast("int"))
+    head = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), F.lit(1), F.col("_words")))
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(head)
+    cut = {"text": text} | ({"n_chars": F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(head).cast("long"))} if "n_chars" in docs.columns else {})
     return rows.withColumns(cut).select(docs.columns)
 
 

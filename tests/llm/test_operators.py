@@ -188,6 +188,16 @@ def test_language_stage_drops_what_is_no_language(spark):
     assert len(got) >= len(clean) + 2 - 1 and {(10**6 + 1, clean[0][1]), (None, clean[1][1])} <= {(r.doc_id, r.text) for r in got}
 
 
+def test_mixed_stage_takes_each_row_once(spark):
+    rows = [(None, f"a{i} b c d", "en", "s", 0) for i in range(6)] + [(7, "x y z w", "en", "s", 0)] * 5 + [(8 + i, "k l m n", "en", "s", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.repeated(docs).collect()
+    words = lambda found: sum(len((r.text or "").split()) for r in found)
+    assert words(got) == sum(r.taken for r in mixing.query(spark, docs).collect()) == 84
+    assert all(1 <= len([r for r in got if r.doc_id is None and r.text.startswith(f"a{i}")]) <= 2 for i in range(6))
+    assert 5 <= len([r for r in got if r.doc_id == 7]) <= 10
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.query(spark, docs, labels).collect()}
