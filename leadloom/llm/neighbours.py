@@ -17,7 +17,7 @@ fewer hits than wanted widens the radius until it has enough or is exhausted.
 
 Defined results: vectors that are null, zero, of another length than most or that hold a
 null or non-finite component take no part; equal scores rank by smaller id; a query's own
-id is no candidate of it, in repeated rows either; with fewer candidates than wanted, all
+id is no candidate of it, in repeated rows either; rows that repeat an id and its vector count once; with fewer candidates than wanted, all
 are returned; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leadloom.llm.common import written
+
 SAMPLE = 4096
 SAMPLE_QUERIES = 512
 BITS = 128
@@ -168,7 +170,8 @@ def _hits(out: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def search(vectors: DataFrame, queries: DataFrame, wanted: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its nearest rows of ``vectors``."""
     spark = vectors.sparkSession
-    base, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    # Copies of a row would take the places of others in the sample and among a block's nearest.
+    base, asked = written(usable(vectors, id_col, vector_col).distinct(), "vectors"), usable(queries, id_col, vector_col)
     dims = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
     schema = "query_id long, rank int, vec_id long, score double"
     if dims is None:

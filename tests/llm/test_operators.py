@@ -198,6 +198,15 @@ def test_mixed_stage_takes_each_row_once(spark):
     assert 5 <= len([r for r in got if r.doc_id == 7]) <= 10
 
 
+def test_neighbours_count_repeated_rows_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    schema = "vec_id long, embedding array<double>"
+    once = sorted(map(tuple, neighbours.query(spark, spark.createDataFrame(rows, schema)).collect()))
+    again = sorted(map(tuple, neighbours.query(spark, spark.createDataFrame(rows * 2 + [rows[5]] * 30, schema)).collect()))
+    assert again == once and len(once) == 60
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.query(spark, docs, labels).collect()}
