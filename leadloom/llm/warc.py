@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BUCKET = 1 << 16
+#: Of ``site_records``: the time between pages, and the page ids of one version of a site.
+STEP = 1 << 10
+PERIOD = 128
 #: Headers that a 304 response updates: fixed by the HTTP standard.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -88,8 +91,37 @@ def page_records(pages: DataFrame) -> DataFrame:
     return out.select(step.alias("record_id"), "url", step.alias("at"), "r.kind", "r.headers")
 
 
+def site_records(pages: DataFrame) -> DataFrame:
+    """Records of the sites of stored pages: many pages on one time line, so that a revisit must look back over other records.
+
+    Each page is a revisit of its site at ``STEP * page_id``; each third is a response of it as well, at that same
+    time and so not earlier. The site has a version for every ``PERIOD`` page ids, whose digest is the ETag. The
+    revisits of ids 0, 1, 2 and 3 mod 4 have: this period's ETag, weak; that of the period before; no ETag but this
+    period's time; none at all.
+    """
+    site = F.regexp_extract(F.trim("url"), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+    period = F.floor(F.col("page_id") / PERIOD)
+    tag = lambda n: F.md5(F.concat_ws(":", canonical(site), n.cast("string")))
+    day = F.concat(F.lit("day "), F.coalesce(period.cast("string"), F.lit("")))
+    response = F.create_map(F.lit("etag"), tag(period), F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.lit("first"))
+    kind = F.pmod("page_id", F.lit(4))
+    seen = F.create_map(F.lit("date"), F.lit("second"), F.lit("server"), F.lit("ignored"))
+    revisit = F.when(kind == 0, F.map_concat(seen, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag(period))))).when(kind == 1, F.map_concat(seen, F.create_map(F.lit("etag"), tag(period - 1)))).when(kind == 2, F.map_concat(seen, F.create_map(F.lit("last-modified"), day))).otherwise(seen)
+    stored = F.when(F.pmod("page_id", F.lit(3)) == 0, F.struct(F.lit(0).alias("n"), F.lit("response").alias("kind"), response.alias("headers")))
+    both = pages.select("page_id", F.concat(site, F.when(kind < 2, "/?utm_source=a#top").otherwise("")).alias("url"), F.array_compact(F.array(stored, F.struct(F.lit(1).alias("n"), F.lit("revisit").alias("kind"), revisit.alias("headers")))).alias("r"))
+    out = both.select("page_id", "url", F.explode("r").alias("r"))
+    return out.select((2 * F.col("page_id") + F.col("r.n")).alias("record_id"), "url", (STEP * F.col("page_id")).alias("at"), "r.kind", "r.headers")
+
+
 def query(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    out = resolve(page_records(pages))
+    return _shown(resolve(page_records(pages)))
+
+
+def query_asof(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    return _shown(resolve(site_records(pages)))
+
+
+def _shown(out: DataFrame) -> DataFrame:
     return out.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n"))
 
 
@@ -107,3 +139,24 @@ SELECT 2 * v.page_id + 1 AS record_id, v.canonical_url, CASE WHEN v.k IN (0, 2)
            WHEN 2 THEN 'content-type: text/html' || chr(10) || 'date: second' || chr(10) || 'etag: ' || v.tag || chr(10) || 'last-modified: ' || v.day END AS headers
 FROM p v
 """
+
+SQL_ASOF = r"""
+WITH c AS (
+  SELECT page_id, page_id // 128 AS period, page_id % 4 AS k, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS host FROM pages
+), p AS (
+  SELECT *, nullif(regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', ''), '') AS canonical_url FROM c
+), v AS (
+  SELECT 2 * page_id + 1 AS record_id, canonical_url, 1024 * page_id AS at, k, 'day ' || period::VARCHAR AS since,
+    CASE k WHEN 0 THEN 'W/' || md5(concat_ws(':', canonical_url, period::VARCHAR)) WHEN 1 THEN md5(concat_ws(':', canonical_url, (period - 1)::VARCHAR)) END AS tag FROM p
+), r AS (
+  SELECT 2 * page_id AS record_id, canonical_url, 1024 * page_id AS at, md5(concat_ws(':', canonical_url, period::VARCHAR)) AS tag, 'day ' || period::VARCHAR AS since FROM p WHERE page_id % 3 = 0
+), j AS (
+  SELECT v.record_id, v.canonical_url, v.tag, r.record_id AS response_id, r.tag AS held, r.since,
+    CASE WHEN r.record_id IS NULL THEN 'no_response' WHEN v.k = 3 THEN 'no_validator'
+         WHEN v.k IN (0, 1) AND regexp_replace(v.tag, '^W/', '') = r.tag OR v.k = 2 AND v.since = r.since THEN 'resolved' ELSE 'changed' END AS status
+  FROM v ASOF LEFT JOIN r ON v.canonical_url = r.canonical_url AND v.at > r.at
+)
+SELECT record_id, canonical_url, CASE WHEN status = 'resolved' THEN response_id END AS response_id, status,
+  CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: second' || chr(10) || 'etag: ' || coalesce(tag, held) || chr(10) || 'last-modified: ' || since END AS headers
+FROM j
+"""

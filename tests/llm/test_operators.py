@@ -207,6 +207,16 @@ def test_neighbours_count_repeated_rows_once(spark):
     assert again == once and len(once) == 60
 
 
+def test_revisits_of_sites_look_back_over_other_records(spark):
+    rows = QUERIES["op10_warc_revisits_asof"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.status for r in rows} == {"resolved", "changed", "no_validator", "no_response"}
+    # A record's own page, id // 2, is never the answer; many answers are in an earlier bucket.
+    found = [(r.record_id // 2, r.response_id // 2) for r in rows if r.response_id is not None]
+    assert all(a > b for a, b in found)
+    assert any(a * warc.STEP // warc.BUCKET > b * warc.STEP // warc.BUCKET for a, b in found)
+    assert of_query(QUERIES["op10_warc_revisits_asof"](spark, "/root/testdata/sf0.01")) == of_sql(SQL["op10_warc_revisits_asof"], "/root/testdata/sf0.01")
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.query(spark, docs, labels).collect()}
