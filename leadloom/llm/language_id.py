@@ -263,7 +263,7 @@ def evidence(net: ByteGru, column: pa.Array) -> np.ndarray:
 
 def positions(net: ByteGru, text: str) -> list[list[str]]:
     """The label of every byte of every piece of a text."""
-    pieces = [w[a : a + PIECE] for w in (x.encode() for x in text.split()) for a in range(0, len(w), PIECE)]
+    pieces = [w[a : a + PIECE] for w in text.encode().lower().split() for a in range(0, len(w), PIECE)]
     if not pieces:
         return []
     best = net.scores(coded(pieces)).argmax(2)

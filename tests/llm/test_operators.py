@@ -217,6 +217,11 @@ def test_revisits_of_sites_look_back_over_other_records(spark):
     assert of_query(QUERIES["op10_warc_revisits_asof"](spark, "/root/testdata/sf0.01")) == of_sql(SQL["op10_warc_revisits_asof"], "/root/testdata/sf0.01")
 
 
+def test_positions_are_read_in_lower_case():
+    net, text = language_id.ByteGru(list("abcdefgh")), "The Quick BROWN fox Jumps OVER the Lazy DOG"
+    assert language_id.positions(net, text) == language_id.positions(net, text.lower())
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.query(spark, docs, labels).collect()}
