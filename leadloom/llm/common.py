@@ -51,12 +51,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that ``written`` returned and that nothing reads any more."""
+    spark, paths = table.sparkSession, {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for entry in [e for e in _written if any(p.endswith(e[1].rsplit("/", 1)[1]) for p in paths)]:
+        _delete(spark, entry[1])
+        _written.remove(entry)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended already; the folder is the cluster's to clean
             pass
 

@@ -133,11 +133,23 @@ def distance(a, b):
     return row[-1]
 
 
-def test_lines_are_brute_force(spark):
-    rng = np.random.default_rng(5)
-    lines = []
-    for _ in range(25):
-        line = "".join(rng.choice(list("abcdefgh "), 45)).strip().ljust(40, "z")
+def line_brute_force(texts, shortest=32, exact=32, edits=2):
+    """The place that stays for each line's place."""
+    placed = [(i, j, line.strip(" \t\n\x0b\x0c\r")) for i, t in enumerate(texts) if t for j, line in enumerate(t.split("\n"))]
+    top = list(range(len(placed)))
+    for i, (_, _, a) in enumerate(placed):
+        for j in range(i):
+            b = placed[j][2]
+            if top[i] != top[j] and (a == b and len(a) >= exact or min(len(a), len(b)) >= shortest and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits):
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    return {p[:2]: placed[t][:2] for p, t in zip(placed, top, strict=True)}
+
+
+def edited_lines(seed, groups, head=""):
+    rng, lines = np.random.default_rng(seed), []
+    for _ in range(groups):
+        line = head + "".join(rng.choice(list("abcdefgh "), 45)).strip().ljust(40, "z")
         for edits in (0, 0, 1, 2, 4):
             s = list(line)
             for _ in range(edits):
@@ -145,18 +157,45 @@ def test_lines_are_brute_force(spark):
                 s[at : at + (how != 1)] = [] if how == 0 else ["é"]
             lines.append("".join(s))
     rng.shuffle(lines)
-    texts = [None, "", "short\nshort", *("\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5))]
-    placed = [(i, j, line) for i, t in enumerate(texts) if t for j, line in enumerate(t.split("\n"))]
-    top = list(range(len(placed)))
-    for i, (_, _, a) in enumerate(placed):
-        for j in range(i):
-            b = placed[j][2]
-            if len(a) >= 32 and len(b) >= 32 and top[i] != top[j] and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
-                low, high = sorted((top[i], top[j]))
-                top = [low if t == high else t for t in top]
-    expected = {p[:2]: placed[t][:2] for p, t in zip(placed, top, strict=True)}
+    return [None, "", "short\nshort", *("\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5))]
+
+
+def test_lines_are_brute_force(spark):
+    texts = edited_lines(5, 25)
     found = {(r.doc_id, r.line_no): (r.keep_doc, r.keep_line) for r in line_dedup.line_classes(docs_of(spark, texts)).collect()}
-    assert {k: v for k, v in found.items() if texts[k[0]]} == expected
+    assert {k: v for k, v in found.items() if texts[k[0]]} == line_brute_force(texts)
+
+
+@pytest.mark.parametrize("block", [3, 16])
+def test_lines_that_share_segments_are_brute_force(spark, block):
+    """Every line starts alike, so that most keys are hot: they are split, and cells of two blocks compare what is left."""
+    texts = edited_lines(8, 20, "the same beginning of all of these lines, ")
+    found = {(r.doc_id, r.line_no): (r.keep_doc, r.keep_line) for r in line_dedup.line_classes(docs_of(spark, texts), block=block).collect()}
+    assert {k: v for k, v in found.items() if texts[k[0]]} == line_brute_force(texts)
+
+
+def test_line_query_is_brute_force(spark):
+    texts = [*edited_lines(9, 12), "Of.\n \nOf.\n", "x" * 1500 + "\n" + "x" * 1499 + "y", " Of. ", "x" * 1499]
+    keep = line_brute_force(texts, exact=1)
+    want = {i: sorted((j, *keep[i, j]) for k, j in keep if k == i and keep[i, j] != (i, j)) for i in range(len(texts))}
+    got = {r.doc_id: r for r in line_dedup.query(spark, docs_of(spark, texts)).collect()}
+    assert {i: list(map(tuple, r.dropped)) for i, r in got.items()} == want
+    assert {i: (r.n_lines, r.n_dropped) for i, r in got.items()} == {i: (len(t.split("\n")) if t else 0, len(want[i])) for i, t in enumerate(texts)}
+
+
+def test_distances_of_pairs_drawn_out(spark):
+    rng = np.random.default_rng(1)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice(list("ab"), int(rng.integers(3, 60))))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(0, len(b)))
+            b[at : at + 1] = [[], ["c"], ["a", "b"]][int(rng.integers(3))]
+        if len(b) > 2:
+            pairs.append((a, "".join(b)))
+    assert line_dedup.near(pairs, 2).tolist() == [distance(a, b) <= 2 for a, b in pairs]
+    assert all(np.bitwise_count(line_dedup.parities(a) ^ line_dedup.parities(b)).sum() <= 4 * distance(a, b) for a, b in pairs)
 
 
 def test_short_equal_lines_go(spark):
