@@ -6,7 +6,8 @@ place. Each line indexes its segments by (length, segment number, content) and p
 its own and each slightly smaller length, the substrings at the places where that
 segment can stand: within i edits of the left end and edits - i of the right one.
 
-Only lines that meet at a key go on. A key at which more than ``block`` lines meet is split by
+Only lines that meet at a key go on; their texts are read again, others passed over by a bitmap of
+bounded size before anything is shuffled. A key at which more than ``block`` lines meet is split by
 the same rule again: what is left of two such lines beside the segment they share is within
 the same number of edits, so they meet at a segment of that rest as well. What still
 meets in larger groups is compared in cells of two blocks. In a cell, pairs whose bigram
@@ -36,6 +37,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,8 @@ BLOCK_CHARS = 1 << 22
 #: Characters, and pairs of a cell, that are verified at once, which bounds a task's memory.
 AT_ONCE = 1 << 21
 PAIRS_AT_ONCE = 2048
+#: Bits of the map of lines whose texts are wanted: 16 MB, enough for eight million at 16 bits each.
+MOST_BITS = 1 << 27
 _MASK = (1 << 64) - 1
 
 
@@ -235,11 +239,26 @@ def _met(batches):
         yield _batch("half line", (np.concatenate((half[apart], half[begin][with_hub])), np.concatenate((line[apart], hubs[with_hub]))))
 
 
-def _texts(shortest: int):
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits at every id modulo their number: 16 bits an id and ``MOST_BITS`` at most, so what comes to the driver is bounded. Full, it passes more, never less."""
+    size = max(1 << 10, min(MOST_BITS, 1 << (16 * ids.count()).bit_length()))
+    at = ids.select(F.pmod("id", F.lit(size)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+    words, found = np.zeros(size >> 6, np.int64), at.toArrow()
+    words[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
+    return words.view(np.uint64)
+
+
+def _texts(shortest: int, bitmap: Broadcast):
+    """Lines whose hash the bitmap may hold: most others stay where they were read."""
+
     def run(batches):
+        words = bitmap.value
         for batch in slices(batches, "text"):
-            seen = {x for t in batch.column("text").to_pylist() for x in lines_of(t) if len(x) >= shortest}
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(name, seen)), pa.int64()), pa.array(list(seen), pa.string())], ["id", "text"])
+            seen = [x for x in {x for t in batch.column("text").to_pylist() for x in lines_of(t)} if len(x) >= shortest]
+            ids = np.fromiter(map(name, seen), np.int64, len(seen))
+            at = ids % (len(words) * 64)
+            has = np.flatnonzero(words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array([seen[i] for i in has], pa.string())], ["id", "text"])
 
     return run
 
@@ -310,9 +329,9 @@ def _links(docs: DataFrame, edits: int, shortest: int, block: int) -> DataFrame:
         return written(dealt.mapInArrow(_met, "half long, line long").distinct(), name)
 
     found = met(docs.mapInArrow(_keyed(edits, shortest), "key long, line long"), "line-keys")
-    # Written, its size is known: Spark broadcasts it below its threshold and else joins by shuffle.
     wanted = written(found.select(F.col("line").alias("id")).distinct(), "lines-met")
-    texts = written(docs.mapInArrow(_texts(shortest), "id long, text string").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    texts = written(docs.mapInArrow(_texts(shortest, bitmap), "id long, text string").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
     hot = written(found.groupBy("half").count().filter(F.col("count") > block).select("half"), "hot-keys")
     if not hot.isEmpty():
         lines = found.join(hot, "half").join(texts, F.col("line") == F.col("id")).select("half", "id", "text").repartition(parts)
