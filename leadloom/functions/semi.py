@@ -57,7 +57,9 @@ def lead_list(value: Column) -> Column:
 def candidate(item: Column, source_url: Column, website: Column) -> Column:
     """An object as a candidate struct: confidence within 0 and 1 (0.5 if it is none), a relative website resolved, tags inferred anew."""
     field = lambda k: stripped(F.coalesce(F.try_variant_get(item, f"$.{k}", "string"), F.lit("")))
-    confidence = F.coalesce(F.try_variant_get(item, "$.confidence_score", "string").try_cast("double"), F.lit(0.5))
+    given = F.try_variant_get(item, "$.confidence_score", "string")
+    truth = F.when(F.schema_of_variant(F.try_variant_get(item, "$.confidence_score", "variant")) == "BOOLEAN", F.when(given == "true", 1.0).otherwise(0.0))
+    confidence = F.coalesce(truth, given.try_cast("double"), F.lit(0.5))
     read = F.struct(*(field(k).alias(k) for k in ("business_name", "email", "phone", "location", "niche")), confidence.alias("c"), F.when(field("website") != "", field("website")).otherwise(stripped(website)).alias("site"))
     absolute_site = lambda s: F.when((s == "") | F.startswith(s, F.lit("http")), s).otherwise(F.coalesce(normalize_url(s, website), website))
     return _let(

@@ -38,18 +38,18 @@ def _split(url: Column) -> Column:
 
 
 def _folded(path: Column, base_path: Column) -> Column:
-    """A relative path against a base's: empty middle segments dropped, dot segments folded."""
+    """A path against a base's: dot segments folded, never above the root; where it is relative, empty middle segments are dropped."""
     above = _let(F.split(base_path, "/"), lambda x: F.when(F.element_at(x, -1) != "", F.slice(x, 1, F.greatest(F.lit(0), F.size(x) - 1))).otherwise(x))
     joined = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(F.concat(above, F.split(path, "/")))
     middle = lambda x: F.filter(F.slice(x, 2, F.size(x) - 2), lambda s: s != "")
-    clean = _let(joined, lambda x: F.when(F.size(x) > 2, F.concat(F.slice(x, 1, 1), middle(x), F.slice(x, -1, 1))).otherwise(x))
+    clean = _let(joined, lambda x: F.when((F.size(x) > 2) & ~F.startswith(path, F.lit("/")), F.concat(F.slice(x, 1, 1), middle(x), F.slice(x, -1, 1))).otherwise(x))
 
     def fold(x: Column) -> Column:
         step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
         out = F.aggregate(x, F.array().cast("array<string>"), step)
         return F.array_join(F.when(F.element_at(x, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out), "/")
 
-    return _let(clean, fold)
+    return _let(_let(clean, fold), lambda x: F.when(F.startswith(x, F.lit("/")), x).otherwise(F.concat(F.lit("/"), x)))
 
 
 def normalize_url(url: Column, base: Column | None = None) -> Column:

@@ -62,13 +62,21 @@ def page_data(pages: DataFrame) -> DataFrame:
 
 
 def site_summary(data: DataFrame) -> DataFrame:
-    """Pages of a host together: count, and each listing once, in page order."""
+    """Pages of a host together: count, name of the first page with one, all contacts as sorted sets, and each listing once, in page order, with its page."""
     hosts = data.withColumn("site", F.lower(_parts(F.col("source_url"))[1]))
-    rows = hosts.select("site", "page_id", F.posexplode_outer("listings").alias("ord", "r"))
+    rows = hosts.select("site", "page_id", F.posexplode(F.transform("listings", lambda r: F.struct(*(r[k].alias(k) for k in ("name", "email", "phone", "address", "social")), F.col("source_url").alias("page")))).alias("ord", "r"))
     key = [F.lower("r.name"), F.lower("r.email"), F.regexp_replace("r.phone", r"\D", "")]
     from leadloom.operators.validate import first_of_each
 
-    rows = first_of_each(rows.filter("r IS NOT NULL"), [F.col("site"), *key], ["page_id", "ord"])
+    rows = first_of_each(rows, [F.col("site"), *key], ["page_id", "ord"])
     found = rows.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "ord", "r"))), lambda x: x["r"]).alias("listings"))
-    count = hosts.groupBy("site").agg(F.count(F.lit(1)).alias("pages_crawled"), F.min_by("business_name", "page_id").alias("business_name"))
-    return count.join(found, "site", "left").withColumn("listings", F.coalesce("listings", F.slice(F.array(F.lit(None).cast(data.schema["listings"].dataType.elementType)), 1, 0)))
+    named = F.when(F.col("business_name") != "", F.col("page_id"))
+    count = hosts.groupBy("site").agg(F.count(F.lit(1)).alias("pages_crawled"), F.min_by("business_name", named).alias("business_name"))
+    # Values are made distinct before they are gathered: a site's many pages repeat theirs.
+    kinds = ("emails", "phones", "addresses", "contact_urls", "social_urls")
+    tagged = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    values = hosts.select("site", F.explode(F.concat(*map(tagged, kinds))).alias("v")).select("site", "v.*").distinct()
+    sets = values.groupBy("site").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("x")))).alias(k) for k in kinds))
+    none = F.array().cast("array<string>")
+    out = count.join(sets, "site", "left").join(found, "site", "left")
+    return out.withColumns({"listings": F.coalesce("listings", F.slice(F.array(F.lit(None).cast(found.schema["listings"].dataType.elementType)), 1, 0)), **{k: F.coalesce(k, none) for k in kinds}})

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leadloom.functions import patterns as P
-from leadloom.functions.classify import heuristic_score
+from leadloom.functions.classify import heuristic_score, parsed_score
 from leadloom.functions.entities import digits_of
 from leadloom.functions.text import stripped
 from leadloom.functions.urls import normalize_url
@@ -61,8 +61,16 @@ def accepted(candidates: DataFrame, min_confidence: float, order: list[str], for
     return valid.unionByName(first.select(valid.columns))
 
 
-def scored(leads: DataFrame) -> DataFrame:
-    return leads.withColumn("outreach_score", heuristic_score(*(F.col(c) for c in ("email", "phone", "business_name", "website", "confidence_score"))))
+def scored(leads: DataFrame, response: str | None = None) -> DataFrame:
+    """Adds ``outreach_score``: the number in a model's ``response``, 0 if it has none; by rule where there is no response (null)."""
+    rule = heuristic_score(*(F.col(c) for c in ("email", "phone", "business_name", "website", "confidence_score")))
+    return leads.withColumn("outreach_score", rule if response is None else F.when(F.col(response).isNotNull(), parsed_score(F.col(response))).otherwise(rule))
+
+
+def counted(stage: DataFrame, name: str):
+    """A stage and the observation of its rows: ``observation.get["rows"]``, known once an action has run, without one of its own."""
+    seen = Observation(name)
+    return stage.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
 def confident(leads: DataFrame, min_confidence: float) -> DataFrame:

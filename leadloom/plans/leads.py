@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from leadloom.operators import candidates as C
 from leadloom.operators import validate as V
 from leadloom.operators.pages import page_chunks
 from leadloom.schema import LEAD_FIELDS, EngineConfig
+from leadloom.sources.files import written
 
 DOCUMENT_ORDER = ["doc_id", "cand_ord"]
 PAGE_ORDER = ["page_id", "chunk_ord", "cand_ord"]
@@ -34,7 +36,12 @@ def page_candidates(pages: DataFrame, config: EngineConfig = EngineConfig()) ->
 
 
 def leads(candidates: DataFrame, order: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Accepted, scored, confident, ranked; with the order's columns."""
+    """Accepted, scored, confident, ranked; with the order's columns.
+
+    Whether anything passes decides on other rows, so candidates are asked for more than once:
+    they are written, texts and pages are read once.
+    """
+    candidates = written(candidates, "candidates")
     taken = V.accepted(candidates, config.min_confidence, order, config.forced_candidates)
     return V.ranked(V.confident(V.scored(taken), config.min_confidence), order)
 
@@ -56,10 +63,10 @@ def thresholds(config: EngineConfig = EngineConfig()) -> list[float]:
 
 
 def with_retries(attempts: Iterable[Callable[[], DataFrame]], order: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
-    """The leads of the first attempt that has any, each with a lower threshold. An attempt is a function that gives its candidates."""
+    """The leads of the first attempt that has any, each with a lower threshold and all other settings kept. An attempt is a function that gives its candidates."""
     out = None
     for attempt, least in zip(attempts, thresholds(config), strict=False):
-        out = leads(attempt(), order, EngineConfig(min_confidence=least))
+        out = V.ranked(written(leads(attempt(), order, replace(config, min_confidence=least)), "attempt"), order)
         if not out.isEmpty():
             break
     if out is None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import classify, entities, semi
 from leadloom.functions import patterns as P
+from leadloom.functions import prompts as PR
 from leadloom.functions import text as T
 from leadloom.functions import urls as U
 from leadloom.operators import candidates as C
@@ -22,6 +23,7 @@ from leadloom.plans import leads as L
 from leadloom.schema import LEAD_FIELDS, EngineConfig
 from leadloom.sources import history as H
 from leadloom.sources import sinks as K
+from leadloom.sources.files import fresh_path, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -223,8 +225,46 @@ def already_crawled(spark, sf_dir):
 
 @query(f"SELECT DISTINCT {s_domain('url')} AS domain FROM pages")
 def record_history(spark, sf_dir):
+    """Recorded in two runs and read again: the second adds to what the first has written."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return H.merged_domains(H.merged_domains(spark.createDataFrame([], "domain string"), pages.filter("page_id % 2 = 0")), pages)
+    history = fresh_path(spark, "history")
+    for run in (pages.filter("page_id % 2 = 0"), pages.filter("page_id % 3 <> 0"), pages.filter("page_id % 6 = 3")):
+        H.record(spark, run, history, f"{history}.csv", f"{history}.json")
+    return H.read_history(spark, history)
+
+
+_ENGINE_URL = f"CASE WHEN page_id % 5 = 0 THEN 'https://www.bing.com/x' ELSE {s_url('url')} END"
+
+
+@query(
+    f"""WITH t AS (SELECT page_id % 2 AS engine_ord, page_id AS rank, {_ENGINE_URL} AS url FROM pages), f AS (SELECT *, {s_domain('url')} AS domain FROM t WHERE page_id_ok(url)),
+o AS (SELECT url, domain, engine_ord, rank, row_number() OVER (PARTITION BY domain ORDER BY engine_ord, rank) AS rn FROM f WHERE domain NOT IN (SELECT {s_domain('url')} FROM pages WHERE page_id % 7 = 0))
+SELECT url, domain FROM (SELECT * FROM o WHERE rn = 1 ORDER BY engine_ord, rank LIMIT 5)""".replace("page_id_ok(url)", f"NOT {s_any(s_domain('url'), P.ENGINE_DOMAINS)}")
+)
+def discovered_sites(spark, sf_dir):
+    """Results of two engines: the first five new external domains. Wrapped links and links to the engines themselves are among them."""
+    pages = table(spark, sf_dir, "pages")
+    wrapped = F.concat(F.lit("//duckduckgo.com/l/?uddg="), F.url_encode("url"))
+    href = F.when(F.col("page_id") % 5 == 0, "https://www.bing.com/x").when(F.col("page_id") % 5 == 1, F.concat(F.lit("https:"), wrapped)).otherwise(F.col("url"))
+    results = pages.select((F.col("page_id") % 2).alias("engine_ord"), F.col("page_id").alias("rank"), href.alias("url"))
+    seen = H.merged_domains(spark.createDataFrame([], "domain string"), pages.filter("page_id % 7 = 0"))
+    return H.select_discovered(results, seen, 20).select("url", "domain")
+
+
+@query(f"SELECT min(page_id) AS page_id, url FROM (SELECT page_id, {_ENGINE_URL} AS url FROM pages) WHERE NOT {s_any(s_domain('url'), P.ENGINE_DOMAINS)} GROUP BY url")
+def result_links(spark, sf_dir):
+    href = F.when(F.col("page_id") % 5 == 0, "https://www.bing.com/x").otherwise(F.col("url"))
+    return H.result_links(table(spark, sf_dir, "pages").select("page_id", href.alias("href")), ["page_id"]).select("page_id", "url")
+
+
+@query(f"SELECT DISTINCT {s_url('url')} AS url FROM pages WHERE page_id % 4 <> 1")
+def visited_cache(spark, sf_dir):
+    """Written by two crawls and read again."""
+    urls = table(spark, sf_dir, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"))
+    path = fresh_path(spark, "visited")
+    for run in (urls.filter("page_id % 2 = 0"), urls.filter("page_id % 4 <> 1")):
+        H.record_visited(spark, run, path)
+    return H.read_visited(spark, path)
 
 
 @query(f"SELECT page_id, {s_url('url')} AS target FROM pages UNION ALL SELECT -page_id - 1, {s_url('url')} FROM pages")
@@ -253,14 +293,28 @@ def llm_text_prep(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.prompt_text(F.col("text")).alias("prompt"))
 
 
-@query(None)
+_S_PIECES = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\n', chr(10) || chr(10), 'g'), '\n{{2,}}'), lambda x: {s_trim('x')}), lambda p: length(p) >= 80)"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, {_S_PIECES} AS p, regexp_replace(text, '\n', chr(10) || chr(10), 'g') AS t FROM documents WHERE length(regexp_replace(text, '\n', chr(10) || chr(10), 'g')) >= 80),
+q AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE [substr(t, 1, 3500)] END AS p FROM d),
+r AS (SELECT doc_id, p, 1 AS i, 0 AS chunk_ord, length(p[1]) + 2 AS n FROM q
+  UNION ALL SELECT doc_id, p, i + 1, chunk_ord + (n + length(p[i + 1]) + 2 > 3500)::INT, CASE WHEN n + length(p[i + 1]) + 2 > 3500 THEN length(p[i + 1]) ELSE n + length(p[i + 1]) + 2 END FROM r WHERE i < len(p))
+SELECT doc_id, chunk_ord, string_agg(p[i], chr(10) || chr(10) ORDER BY i) AS text, 'block_' || (chunk_ord + 1) AS section_hint FROM r GROUP BY doc_id, chunk_ord"""
+)
 def document_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return docs.select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_ord", "c")).select("doc_id", "chunk_ord", "c.*")
 
 
-@query(None)
+@query(
+    rf"""SELECT page_id, coalesce(list_filter([{s_title("replace(split_part(" + s_domain('url') + ", '.', 1), '-', ' ')")}], lambda x: NOT has)[1], n) AS business_name FROM (SELECT page_id, url, n, length(n) >= 2 AS has FROM (SELECT page_id, url,
+  coalesce(list_filter(list_transform([regexp_extract(html, '(?is)<h1[^>]*>([^<]+)</h1>', 1), regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1)],
+    lambda x: trim(split_part(trim(split_part(trim(split_part(trim(split_part(trim(split_part({s_unescape(s_trim("regexp_replace(x, '[[:space:]]+', ' ', 'g')"))}, '|', 1)), '–', 1)), '-', 1)), '—', 1)), '·', 1))), lambda x: length(x) >= 2)[1], '') AS n FROM pages))"""
+)
 def page_titles(spark, sf_dir):
+    """These pages hold neither property nor JSON-LD names: the first heading or the title counts."""
     pages = table(spark, sf_dir, "pages")
     return PG.business_names(pages.withColumn("data", semi.structured("html", "url"))).select("page_id", "business_name")
 
@@ -307,7 +361,11 @@ def crawl_reach(spark, sf_dir):
     return G.crawl(roots, edges, max_depth=1, max_pages=None, max_links=1 << 30).select("site", "url", "depth")
 
 
-@query(None)
+# Within a site's chain the pages visited are a prefix, so a page's new links are all beyond the furthest link enqueued.
+@query(
+    f"""WITH p AS (SELECT DISTINCT ON (url) page_id, {s_url('url')} AS url, {s_domain('url')} AS host FROM pages ORDER BY url, page_id), n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM p)
+SELECT r.url AS site, n.url, CASE WHEN n.n = 1 THEN 0 ELSE (n.n + 3) // 5 END::INT AS depth, (n.n - 1)::BIGINT AS visit FROM n JOIN n r ON r.host = n.host AND r.n = 1 WHERE n.n <= 12"""
+)
 def crawl_bfs(spark, sf_dir):
     """With quota and page cap, over the graph of hosts' pages: each page links to the next five of its host."""
     pages = table(spark, sf_dir, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url")).withColumn("host", U.registrable_domain(F.col("url")))
@@ -441,23 +499,33 @@ def reachable_leads(spark, sf_dir):
 
 def s_merged(key: str) -> str:
     flat = f"doc_id, business_name, website, email, phone, location, niche, array_to_string(tags, ', ') AS tags, confidence_score, source_url, {S_SCORE}"
-    return f"{S_LEADS}, s AS (SELECT {flat} FROM valid), b AS (SELECT *, 0 AS n FROM s WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM s) SELECT * EXCLUDE (n, rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n, doc_id, email, phone) AS rn FROM b) WHERE rn = 1"
+    return f"{S_LEADS}, s AS (SELECT {flat} FROM valid), b AS (SELECT *, 0 AS n FROM s WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM s) SELECT * EXCLUDE (n, rn, doc_id) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n, doc_id, email, phone) AS rn FROM b) WHERE rn = 1"
+
+
+def _two_runs(spark, sf_dir, kind):
+    """Leads of even documents, then all, saved to one place: what is there in the end."""
+    rows = written(scored_leads(spark, sf_dir), "leads")
+    path = fresh_path(spark, "leads")
+    K.save(rows.filter("doc_id % 2 = 0"), path, kind, order=["doc_id", "email", "phone"])
+    return K.save(rows, path, kind, order=["doc_id", "email", "phone"])
 
 
 @query(s_merged("lower(business_name), lower(email), lower(website)"))
 def append_merge_json(spark, sf_dir):
-    rows = K.flat(scored_leads(spark, sf_dir))
-    return K.append_merge(rows.filter("doc_id % 2 = 0"), rows, ["doc_id", "email", "phone"])
+    return _two_runs(spark, sf_dir, "json")
 
 
 @query(s_merged("business_name, email, website"))
 def append_merge_csv(spark, sf_dir):
-    rows = K.flat(scored_leads(spark, sf_dir))
-    return K.append_merge(rows.filter("doc_id % 2 = 0"), rows, ["doc_id", "email", "phone"], fold_case=False)
+    return _two_runs(spark, sf_dir, "csv")
 
 
-@query(None)
+@query(
+    f"{S_LEADS}, s AS (SELECT *, {S_SCORE} FROM valid) SELECT CASE WHEN business_name = '' THEN '-' ELSE business_name END AS business_name, CASE WHEN email = '' THEN '-' ELSE email END AS email, "
+    "CASE WHEN phone = '' THEN '-' ELSE phone END AS phone, CASE WHEN website = '' THEN '-' ELSE website END AS website, outreach_score FROM s ORDER BY s.outreach_score DESC, s.doc_id, s.email, s.phone LIMIT 10"
+)
 def lead_preview(spark, sf_dir):
+    """The first ten for a console."""
     return K.preview(scored_leads(spark, sf_dir), ["doc_id", "email", "phone"])
 
 
@@ -500,6 +568,80 @@ def llm_or_heuristic(spark, sf_dir):
     return C.model_or_heuristic(_responses(spark, sf_dir), ["r1", "r2", "r3"])
 
 
+_S_LINE = s_trim("substr(" + s_trim(r"regexp_replace(text, '\s+', ' ', 'g')") + ", 1, 2000)")
+
+
+def s_filled(template: str, **values: str) -> str:
+    out, rest = [], template
+    for name, value in values.items():
+        before, rest = rest.split("{" + name + "}", 1)
+        out += [s_lit(before), value]
+    return " || ".join([*out, s_lit(rest)])
+
+
+@query(
+    f"WITH {S_TEXTS} SELECT doc_id, {s_filled(PR.EXTRACTION, source='site', website='site', text=_S_LINE)} AS extraction, {s_filled(PR.STRICT, source='site', website='site', text=_S_LINE)} AS strict, "
+    f"CASE WHEN doc_id % 3 <> 0 THEN {s_filled(PR.REPAIR, response=chr(39) + '[' + chr(39) + ' || doc_id')} END AS repair FROM t"
+)
+def extraction_prompts(spark, sf_dir):
+    """The three prompts of an extraction; the repair is asked for where there was an answer."""
+    texts = L.document_texts(table(spark, sf_dir, "documents"))
+    given = (F.col("text"), F.col("source_url"), F.col("website"))
+    answer = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("["), F.col("doc_id").cast("string")))
+    return texts.select("doc_id", PR.extraction(*given).alias("extraction"), PR.strict(*given).alias("strict"), PR.repair(answer).alias("repair"))
+
+
+_S_LEAD = "'{' || " + " || ', ' || ".join(
+    f"'\"{k}\": ' || " + {"tags": "'[' || array_to_string(list_transform(tags, lambda x: to_json(x)::VARCHAR), ', ') || ']'", "confidence_score": "confidence_score::VARCHAR", "outreach_score": "outreach_score::VARCHAR"}.get(k, f"to_json({k})::VARCHAR")
+    for k in LEAD_FIELDS
+) + " || '}'"
+
+
+@query(f"{S_LEADS}, s AS (SELECT *, {S_SCORE} FROM valid) SELECT doc_id, {s_filled(PR.SCORE, lead=_S_LEAD)} AS prompt FROM s")
+def score_prompts(spark, sf_dir):
+    return scored_leads(spark, sf_dir).select("doc_id", PR.score(*(F.col(c) for c in LEAD_FIELDS)).alias("prompt"))
+
+
+@query(f"WITH {S_HREFS} SELECT page_id, {s_filled(PR.LINKS, links='array_to_string(links, chr(10))')} AS prompt FROM links")
+def link_prompts(spark, sf_dir):
+    return internal_links(spark, sf_dir).select("page_id", PR.link_choice(F.col("links")).alias("prompt"))
+
+
+@query(
+    f"WITH {S_HREFS}, d AS (SELECT page_id, array_to_string({S_LINES}, chr(10)) AS text FROM pages) SELECT page_id, "
+    + s_filled(PR.NAVIGATION, links="array_to_string(links[1:20], chr(10))", text=s_trim("substr(" + s_trim(r"regexp_replace(text, '\s+', ' ', 'g')") + ", 1, 1500)"))
+    + " AS prompt FROM d JOIN links USING (page_id)"
+)
+def navigation_prompts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumns({"root": U.normalize_url(F.col("url")), "text": T.clean_html("html")})
+    links = G.internal_links(pages).select("page_id", "links").filter(F.size("links") > 0)
+    return pages.select("page_id", "text").join(links, "page_id").select("page_id", PR.navigation(F.col("text"), F.col("links")).alias("prompt"))
+
+
+@query(
+    f"""WITH {S_HREFS} SELECT page_id, page_id % 4 = 1 AS has_contact_info,
+CASE page_id % 4 WHEN 0 THEN coalesce(list_filter(links[1:20], lambda u: ends_with(links[2], u) OR ends_with(u, links[2]))[1], links[1]) WHEN 1 THEN links[2] WHEN 2 THEN 'nowhere:' ELSE links[1] END AS next_link
+FROM links WHERE len(links) >= 2 AND NOT list_has_any(list_transform(links, lambda u: {s_any('lower(u)', ('contact', 'about', 'team'))}), [true])"""
+)
+def nav_responses(spark, sf_dir):
+    """Answers with a link cut short, a link of the page, a made-up link and none, for pages without a link that looks like contact."""
+    links = internal_links(spark, sf_dir).filter(F.size("links") >= 2).filter(~F.exists("links", lambda u: U._contains_any(F.lower(u), ("contact", "about", "team"))))
+    two = F.element_at("links", 2)
+    k = F.col("page_id") % 4
+    link = F.when(k == 0, F.regexp_replace(two, "^https?://", "")).when(k == 1, two).when(k == 2, "nowhere:")
+    said = F.when(k < 3, F.concat(F.lit("So: "), F.to_json(F.struct((k == 1).alias("has_contact_info"), link.alias("next_link"))))).otherwise("none")
+    told = G.navigation(links.withColumns({"text": F.lit(""), "said": said}), response="said")
+    return told.select("page_id", "has_contact_info", "next_link")
+
+
+@query(f"{S_LEADS}, s AS (SELECT *, {S_SCORE} FROM valid) SELECT doc_id, email, phone, CASE doc_id % 3 WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE outreach_score END AS outreach_score FROM s")
+def score_dispatch(spark, sf_dir):
+    """By answer where there is one, 0 if it holds no number; by rule where there is none."""
+    cand = V.validated(L.document_candidates(table(spark, sf_dir, "documents")), 0.2, L.DOCUMENT_ORDER)
+    said = F.when(F.col("doc_id") % 3 == 0, "7.5 of 10").when(F.col("doc_id") % 3 == 1, "")
+    return V.scored(cand.withColumn("said", said), "said").select("doc_id", "email", "phone", "outreach_score")
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN least(10.0::DOUBLE, (doc_id % 17)::DOUBLE) WHEN 1 THEN 3.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
 def score_parse(spark, sf_dir):
     said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Score: "), (F.col("doc_id") % 17).cast("string"), F.lit("/10"))).when(F.col("doc_id") % 4 == 1, "-3.5 of 10").when(F.col("doc_id") % 4 == 2, "none")
@@ -573,6 +715,14 @@ def restaurant_hints(spark, sf_dir):
     return _page_data(spark, sf_dir).select("page_id", "business_name", F.col("extra")["tags"].alias("tags"), F.col("extra")["cuisine"].alias("cuisine"))
 
 
+@query(f"SELECT {s_domain('url')} AS site, count(*) AS pages_crawled, list_sort(list('info' || page_id || '@site.example')) AS mailed, list_sort(list(page_id || ' Main St, Springfield')) AS addresses, list_sort(list('https://www.instagram.com/p' || page_id)) AS social_urls FROM (SELECT page_id, replace(url, '://www.', '://www-') AS url FROM pages) GROUP BY 1")
+def merged_sites(spark, sf_dir):
+    """Contacts of all pages of a site as sorted sets."""
+    pages = _structured_pages(spark, sf_dir).withColumn("url", F.replace("url", F.lit("://www."), F.lit("://www-")))
+    out = PG.site_summary(PG.page_data(pages))
+    return out.select("site", "pages_crawled", F.filter("emails", lambda e: F.startswith(e, F.lit("info"))).alias("mailed"), "addresses", "social_urls")
+
+
 @query(None)
 def page_bundles(spark, sf_dir):
     return PG.page_data(table(spark, sf_dir, "pages")).drop("extra")
