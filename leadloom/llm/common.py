@@ -64,6 +64,16 @@ def dropped(table: DataFrame) -> None:
         _written.remove(entry)
 
 
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` as a written table with a number of its own for each row, so that stages act on rows, whatever their ids."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, gone: DataFrame, name: str = "_row") -> DataFrame:
+    """The numbered rows but those whose number is in ``gone``, which is written first: Spark then knows its size, broadcasts it below its threshold and else joins by shuffle."""
+    return rows.join(written(gone.select(name), "gone"), name, "left_anti").drop(name)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

@@ -2,13 +2,20 @@
 
 The index is a Parquet table in the shared folder, bucketed and sorted by digest. A
 batch is reduced to one row for each digest before any join (map-side partial
-aggregation takes the hot groups), anti-joined to the index by a sort-merge join
-that needs no exchange on the index's side, and what is new is appended.
+aggregation takes the hot groups). A sort-merge anti-join, which needs no exchange on the
+index's side, tells which digests are new: these are appended as holders. Of the others a
+row is appended too, with the batch's best id and how many rows it has, so that sizes
+stay right without rewriting anything; reading sums them up bucket by bucket.
+
+The query adds the documents in ``BATCHES`` batches, dealt by a hash of the id, so the second
+meets what the first has left in the index.
 
 Defined results: null text counts as empty; texts are equal when identical without
 ``[\\x20\\x09-\\x0D]``, so empty and blank texts are one group; of a batch's equal
-texts the one with most code points, then the smallest id, stays, and a digest that
-the index already holds keeps the holder it has. Rows that repeat an id and its text
+texts the one with most code points, then the smallest id, is best (a null id after others). Of
+batches, with ``best`` the best of all of them stays, as if they were one; without, the
+holder of the first batch that had the digest stays for good. Group sizes count all
+batches so far, this one included. Rows that repeat an id and its text
 are one document and are all marked kept if it stays. Columns beyond id and text are
 ignored. An empty batch adds nothing.
 """
@@ -20,41 +27,53 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import fresh_path, without_white, written
+from leadloom.llm.common import fresh_path, numbered, without, without_white, written
 
-#: A digest is hot from this share of the rows on; by counting there are at most 1 / HOT_SHARE hot ones, so these may be broadcast.
+#: A digest is hot from this share of the index's rows on; by counting there are at most 1 / HOT_SHARE hot ones.
 HOT_SHARE = 0.001
+BATCHES = 2
 
 
 class DigestIndex:
-    """One row for each digest ever added: ``digest, keep_id, n_chars, group_size``."""
+    """``digest, keep_id, n_chars, group_size, holder``: a holder for each digest ever added, and a row for each later batch that had it again."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()[:16]
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, n_chars BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, n_chars BIGINT, group_size BIGINT, holder BOOLEAN) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _holders(self) -> DataFrame:
+        return self.table().filter("holder").select("digest").hint("merge")
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks: sort-merge anti-join, the index read bucket by bucket."""
-        return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        return groups.join(self._holders(), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
-        """Add the groups that are new, dealt as the buckets are, so that each bucket gets one file."""
-        new = self.unseen(groups).select("digest", "keep_id", "n_chars", "group_size")
-        new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+        """Add a batch's groups, new ones as holders, dealt as the buckets are, so that each bucket gets one file."""
+        new = self.unseen(groups).withColumn("holder", F.lit(True))
+        again = groups.join(self._holders(), "digest", "left_semi").withColumn("holder", F.lit(False))
+        both = new.unionByName(again).select("digest", "keep_id", "n_chars", "group_size", "holder")
+        both.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+
+    def held(self, best: bool = False) -> DataFrame:
+        """``digest, keep_id, group_size`` of every digest, without an exchange."""
+        rows, one = self.table(), F.struct("n_chars", (-F.col("keep_id")).alias("neg_id"))
+        kept = F.max(one) if best else F.max(F.when(F.col("holder"), one))
+        return rows.groupBy("digest").agg(kept.alias("kept"), F.sum("group_size").alias("group_size")).select("digest", (-F.col("kept.neg_id")).alias("keep_id"), "group_size")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, digest`` (SHA-256 of the text without white space), ``n_chars`` (code points of the original text)."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """``id, digest`` (SHA-256 of the text without white space), ``n_chars`` (code points of the original text) and ``more``."""
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(without_white(text), 256)).alias("digest"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"))
+    return docs.select(*more, F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(without_white(text), 256)).alias("digest"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"))
 
 
 def grouped(digested: DataFrame) -> DataFrame:
@@ -64,35 +83,47 @@ def grouped(digested: DataFrame) -> DataFrame:
     return out.select("digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.n_chars").alias("n_chars"), "group_size")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", best: bool = False, batches: int = 1, row: str | None = None) -> DataFrame:
     """Add ``docs`` to the index and say of each row which document it duplicates.
 
-    Returns ``id, digest, keep_id, group_size``; without an index a new one is made in
+    Returns ``id, digest, n_chars, keep_id, group_size`` and ``row``; without an index a new one is made in
     the shared folder. Digests are written once, so texts are read once.
     """
-    spark = docs.sparkSession
+    spark, more = docs.sparkSession, [row] if row else []
     index = index or DigestIndex(spark, fresh_path(spark, "digest-index"))
-    digested = written(digests(docs, id_col, text_col), "digests")
-    index.append(grouped(digested))
-    held = index.table().select("digest", "keep_id", "group_size")
-    least = max(2, int(HOT_SHARE * digested.count()))
-    # A hot digest would send its rows to one task: those few index rows are broadcast, and their documents
-    # are dealt by id in the sort-merge join, where nothing matches them.
-    hot = F.broadcast(held.filter(F.col("group_size") >= least).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")))
-    rows = digested.join(hot, "digest", "left").withColumn("at", F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.encode(F.concat(F.lit("-"), F.col("id")), "UTF-8")))
-    cold = held.withColumnRenamed("digest", "at").hint("merge")
-    return rows.join(cold, "at", "left").select("id", "digest", F.coalesce("hot_id", "keep_id").alias("keep_id"), F.coalesce("hot_size", "group_size").alias("group_size"))
+    digested = written(digests(docs, id_col, text_col, *more), "digests")
+    for number in range(batches):
+        index.append(grouped(digested.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == number) if batches > 1 else digested))
+    held = index.held(best)
+    least = max(2, int(HOT_SHARE * (index.table().agg(F.sum("group_size")).head()[0] or 0)))
+    # A hot digest would send its rows to one task: those few index rows are joined apart, and their documents
+    # are dealt by id in the sort-merge join, where nothing matches them. Written, they have a known size.
+    hot = written(held.filter(F.col("group_size") >= least).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")), "hot-digests")
+    rows = digested.join(hot, "digest", "left").withColumn("at", F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(F.encode(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.col("n_chars").cast("string"))), "UTF-8")))
+    cold = held.withColumnRenamed("digest", "at").withColumnRenamed("keep_id", "cold_id").hint("merge")
+    keep = F.when(F.col("hot_size").isNull(), F.col("cold_id")).otherwise(F.col("hot_id"))
+    return rows.join(cold, "at", "left").select(*more, "id", "digest", "n_chars", keep.alias("keep_id"), F.coalesce("hot_size", "group_size").alias("group_size"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    out = deduplicate(docs)
-    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("keep_id") == F.col("id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = deduplicate(docs, best=True, batches=BATCHES)
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents that stay, with their columns. Dropped ids are the smaller side of an anti-join."""
-    gone = deduplicate(docs).filter("keep_id <> id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: one row of each group of equal texts stays, with its columns.
+
+    It is the row with most code points, then the smallest id, null ids last, then any one of
+    those that repeat it. Rows count, not ids: rows of different texts that share an id, or have
+    none, each stay or go by their own text. Null, empty and blank texts are one group.
+    """
+    rows = numbered(docs)
+    found = written(deduplicate(rows, best=True, row="_row"), "groups")
+    best = found.filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    # A group has one best row but for repeats: only those few are looked at further.
+    several = best.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("n_chars", (-F.col("_row")).alias("at"))).alias("first")).filter("n > 1").select("digest", (-F.col("first.at")).alias("first"))
+    repeats = best.join(written(several, "repeats"), "digest").filter("_row <> first").select("_row")
+    return without(rows, found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("_row").union(repeats)).select(docs.columns)
 
 
 SQL = r"""
