@@ -16,8 +16,8 @@ least ``percent`` / 100. The join runs in these steps:
    p tokens give the missing number as sum(p - 1); of each class, all pairs are
    indexed. A partner that shares less than a pair in every class misses at least t + 1.
 3. Documents that share an index entry are joined in stars, never in pairs, and the
-   connected sets are verified: in blocks of ``BLOCK`` documents, each pair's overlap is
-   counted exactly on whole sets and compared in integers. Each block returns its links as
+   connected sets are verified: in blocks of ``BLOCK`` documents or ``BLOCK_SHINGLES`` shingles, each
+   pair's overlap of whole hashed sets is counted and compared in integers. Each block returns its links as
    a forest, and the forests' components are the result.
 
 Equal sets are one row from step 1 on (in a slice) and step 2 on (everywhere), so copies
@@ -39,12 +39,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import written
+from leadloom.llm.common import numbered, without, written
 from leadloom.llm.components import components
 from leadloom.llm.words import slices, words
 
 RARE = 64
+#: Documents, and shingles of them, of a block: two blocks are compared at a time.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
+#: Bytes of input for a bucket of the hash space, and buckets for a task at most.
+BUCKET_BYTES = 32 << 20
+MOST_BUCKETS = 1 << 10
 #: Frequent tokens are dealt into n / CLASS classes, rounded to a power of two.
 CLASS = 16
 
@@ -147,18 +152,27 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _counted(batches):
-    """A partition is one bucket: its slices' shingles to, for each slice, those of more than one document, as ``count << 48 | hash`` and the row."""
+    """Rows in order of bucket: what slices keep for themselves, and each bucket's answers."""
     sent: list[tuple[int, np.ndarray, np.ndarray]] = []
+    at = None
     for batch in batches:
-        kinds, numbers = batch.column("kind").to_pylist(), batch.column("slice").to_pylist()
+        buckets, kinds, numbers = (batch.column(c).to_pylist() for c in ("bucket", "kind", "slice"))
         passing = [i for i, kind in enumerate(kinds) if kind == 0]
         if passing:
             yield batch.take(pa.array(passing))
         for i, kind in enumerate(kinds):
             if kind == 1:
+                if buckets[i] != at:
+                    yield from _answers(sent)
+                    sent, at = [], buckets[i]
                 body = batch.column("body")[i].as_py()
                 size = int(np.frombuffer(body[:8], np.int64)[0])
                 sent.append((numbers[i], _unpack(body[8 : 8 + size]), _unpack(body[8 + size :])))
+    yield from _answers(sent)
+
+
+def _answers(sent: list[tuple[int, np.ndarray, np.ndarray]]):
+    """One bucket: its slices' shingles to, for each slice, those of more than one document, as ``count << 48 | hash`` and the row."""
     if not sent:
         return
     whole = np.concatenate([x for _, one, two in sent for x in (one >> _U(16), two >> _U(16))])
@@ -332,8 +346,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """``doc_id, n_shingles, component_id`` of every row; ``k`` words a shingle, similarity of ``percent`` / 100 or more."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.selectExpr(f"cast(`{id_col}` as long) id", f"`{text_col}` text").mapInArrow(_shingled(k, parts), _ROUTED)
-    counted = sent.repartitionById(parts, F.col("bucket")).mapInArrow(_counted, _ROUTED)
+    texts = docs.selectExpr(f"cast(`{id_col}` as long) id", f"`{text_col}` text")
+    # A task takes its buckets one after another, so the input's size decides how many there are, not how much one holds.
+    buckets = parts * max(1, min(MOST_BUCKETS, -(-int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (parts * BUCKET_BYTES))))
+    sent = texts.mapInArrow(_shingled(k, buckets), _ROUTED)
+    counted = sent.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket").mapInArrow(_counted, _ROUTED)
     table = written(counted.repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_assembled(percent), _DOCS), "shingle-sets")
 
     able = table.filter("tokens IS NOT NULL")
@@ -344,7 +361,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = index.join(hubs, "sig").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     sets = written(components(stars, "candidate-edges"), "candidates")
 
-    sizes = sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sized = sets.join(reps.select("doc_id", "n"), F.col("id") == F.col("doc_id"))
+    sizes = sized.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     cells = sets.join(sizes, "component").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("id", F.struct("component", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y")).alias("cell"))
@@ -363,6 +381,15 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays; five words, similarity 0.8."""
-    gone = near_duplicates(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each group the row with the smallest id stays, null ids last, with its columns; five words, similarity 0.8.
+
+    Rows count, not ids: rows that share an id, or have none, are compared by their own texts.
+    Repeated rows are one group. Rows without words are in no group and stay.
+    """
+    rows = numbered(docs)
+    found = written(near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("cls")), "groups")
+    others = found.filter("cls <> _row")
+    members = others.union(others.select(F.col("cls").alias("_row"), "cls").distinct())
+    named = members.join(rows.select("_row", F.col("doc_id").alias("id")), "_row")
+    first = named.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first"))
+    return without(rows, named.join(first, "cls").filter("_row <> first._row")).select(docs.columns)
