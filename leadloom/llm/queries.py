@@ -16,7 +16,6 @@ QUERIES = {
     "op8_source_mixing": lambda spark, sf_dir: mixing.query(spark, documents(spark, sf_dir)),
     "op9_packing": lambda spark, sf_dir: packing.query(spark, documents(spark, sf_dir)),
     "op10_warc_revisits": lambda spark, sf_dir: warc.query(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")),
-    "op10_warc_revisits_asof": lambda spark, sf_dir: warc.query_asof(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")),
 }
 
 SQL = {
@@ -24,5 +23,4 @@ SQL = {
     "op7_chat_formatting": chat.SQL,
     "op8_source_mixing": mixing.SQL,
     "op10_warc_revisits": warc.SQL,
-    "op10_warc_revisits_asof": warc.SQL_ASOF,
 }

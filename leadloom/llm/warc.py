@@ -11,6 +11,8 @@ A revisit resolves if its validators hold: its ETag equals the response's (weakl
 response's, updated by those that a 304 may send: cache-control, content-location, date,
 etag, expires, last-modified, vary.
 
+Header names are compared in lower case.
+
 Defined results: records without a URL or a time are ``no_response`` if revisits, and no response
 to any; of responses with the same time the one with the larger id is later; a response
 at the revisit's own time is not earlier; a revisit without validators is
@@ -33,19 +35,25 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 
 
 def canonical(url: Column) -> Column:
-    """Scheme-less URL: host in lower case without www. or m., no fragment, tracking parameters, default port or closing slash."""
+    """Scheme-less URL: host in lower case without default port and without www. or m. before a name of two labels or more, no fragment, tracking parameters or closing slash."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
-    u = F.regexp_replace(u, r"([?&])(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*&?", "$1")
-    u = F.regexp_replace(u, r"[?&]+$", "")
-    host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)", 1))
-    rest = F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*(.*)$", 1), r"/+$", "")
-    out = F.concat(F.regexp_replace(F.regexp_replace(host, r"^(www|m)\.", ""), r":(80|443)$", ""), rest)
+    part = lambda k: F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)([^?]*)(?:\?(.*))?$", k)
+    host = F.regexp_replace(F.regexp_replace(F.lower(part(1)), r":(80|443)$", ""), r"^(?:www|m)\.([^.]+\..+)$", "$1")
+    query = F.array_join(F.filter(F.split(part(3), "&"), lambda p: (p != "") & ~F.rlike(p, F.lit(r"^(utm_[a-z]+|ref|gclid|fbclid)="))), "&")
+    out = F.concat(host, F.regexp_replace(part(2), r"/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(host != "", out)
 
 
+def lowered(headers: Column) -> Column:
+    """Headers with names in lower case; of names that differ in case alone the first counts."""
+    entries = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+    names = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["k"] == n), 1)["v"]))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """``record_id, canonical_url, response_id, status, headers`` of each revisit in ``records(record_id, url, at, kind, headers)``, kind response or revisit."""
-    rows = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), "at", "kind", "headers")
+    rows = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), "at", "kind", lowered(F.col("headers")).alias("headers"))
     rows = rows.withColumn("bucket", F.floor(F.col("at") / BUCKET))
     full = F.when(F.col("kind") == "response", F.struct("at", "record_id", F.col("headers").alias("h")))
     # Records that no time line holds are dealt by their own id.
@@ -63,7 +71,7 @@ def resolve(records: DataFrame) -> DataFrame:
     seen = rows.withColumn("near", F.when(~loose, near)).filter(F.col("kind") == "revisit")
     seen = seen.join(carried, ["canonical_url", "bucket"], "left").withColumn("r", F.coalesce("near", "carried"))
     weak = lambda h: F.regexp_replace(F.try_element_at(h, F.lit("etag")), "^W/", "")
-    mine, held = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.col("r.h")
+    mine, held = F.col("headers"), F.col("r.h")
     tag, since = weak(mine), F.try_element_at(mine, F.lit("last-modified"))
     holds = F.when(tag.isNotNull(), F.coalesce(tag == weak(held), F.lit(False))).otherwise(F.coalesce(since == F.try_element_at(held, F.lit("last-modified")), F.lit(False)))
     status = F.when(F.col("r").isNull(), "no_response").when(tag.isNull() & since.isNull(), "no_validator").when(holds, "resolved").otherwise("changed")
@@ -74,23 +82,6 @@ def resolve(records: DataFrame) -> DataFrame:
     return out.select("record_id", "canonical_url", F.when(ok, F.col("r.record_id")).alias("response_id"), "status", F.when(ok, merged).alias("headers"))
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """Records made of stored pages, since these have no headers: a response each and, half a step later, a revisit.
-
-    A response's ETag is its payload's digest. The revisits of ids 0, 1, 2 and 3 mod 4
-    have: that ETag, weak; another one; none but the right time; none at all.
-    """
-    tag, day = F.md5(F.coalesce("html", F.lit(""))), F.concat(F.lit("day "), F.coalesce((F.col("page_id") % 365).cast("string"), F.lit("")))
-    response = F.create_map(F.lit("etag"), tag, F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.lit("first"))
-    kind = F.pmod("page_id", F.lit(4))
-    seen = F.create_map(F.lit("date"), F.lit("second"), F.lit("server"), F.lit("ignored"))
-    revisit = F.when(kind == 0, F.map_concat(seen, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag)))).when(kind == 1, F.map_concat(seen, F.create_map(F.lit("etag"), F.lit("-")))).when(kind == 2, F.map_concat(seen, F.create_map(F.lit("last-modified"), day))).otherwise(seen)
-    both = pages.select("page_id", "url", F.array(F.struct(F.lit(0).alias("n"), F.lit("response").alias("kind"), response.alias("headers")), F.struct(F.lit(1).alias("n"), F.lit("revisit").alias("kind"), revisit.alias("headers"))).alias("r"))
-    out = both.select("page_id", "url", F.explode("r").alias("r"))
-    step = 2 * F.col("page_id") + F.col("r.n")
-    return out.select(step.alias("record_id"), "url", step.alias("at"), "r.kind", "r.headers")
-
-
 def site_records(pages: DataFrame) -> DataFrame:
     """Records of the sites of stored pages: many pages on one time line, so that a revisit must look back over other records.
 
@@ -114,37 +105,15 @@ def site_records(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return _shown(resolve(page_records(pages)))
-
-
-def query_asof(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return _shown(resolve(site_records(pages)))
-
-
-def _shown(out: DataFrame) -> DataFrame:
-    return out.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n"))
+    """Stored pages have no headers: their sites' records stand for what a crawl would have stored."""
+    return resolve(site_records(pages)).withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n"))
 
 
 SQL = r"""
-WITH c AS (
-  SELECT page_id, md5(coalesce(html, '')) AS tag, 'day ' || (page_id % 365)::VARCHAR AS day, page_id % 4 AS k,
-    regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '([?&])(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*&?', '\1', 'g'), '[?&]+$', '') AS u FROM pages
-), p AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
-    || regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*(.*)$', 1), '/+$', '') AS canonical_url FROM c
-)
-SELECT 2 * v.page_id + 1 AS record_id, v.canonical_url, CASE WHEN v.k IN (0, 2) THEN 2 * v.page_id END AS response_id,
-  CASE v.k WHEN 1 THEN 'changed' WHEN 3 THEN 'no_validator' ELSE 'resolved' END AS status,
-  CASE v.k WHEN 0 THEN 'content-type: text/html' || chr(10) || 'date: second' || chr(10) || 'etag: W/' || v.tag || chr(10) || 'last-modified: ' || v.day
-           WHEN 2 THEN 'content-type: text/html' || chr(10) || 'date: second' || chr(10) || 'etag: ' || v.tag || chr(10) || 'last-modified: ' || v.day END AS headers
-FROM p v
-"""
-
-SQL_ASOF = r"""
 WITH c AS (
   SELECT page_id, page_id // 128 AS period, page_id % 4 AS k, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS host FROM pages
 ), p AS (
-  SELECT *, nullif(regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', ''), '') AS canonical_url FROM c
+  SELECT *, nullif(regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(?:www|m)\.([^.]+\..+)$', '\1'), '') AS canonical_url FROM c
 ), v AS (
   SELECT 2 * page_id + 1 AS record_id, canonical_url, 1024 * page_id AS at, k, 'day ' || period::VARCHAR AS since,
     CASE k WHEN 0 THEN 'W/' || md5(concat_ws(':', canonical_url, period::VARCHAR)) WHEN 1 THEN md5(concat_ws(':', canonical_url, (period - 1)::VARCHAR)) END AS tag FROM p
