@@ -9,8 +9,9 @@ Training rows: at most ``SAMPLE`` labelled documents for each combination of lab
 with the smallest digest of their id. Their texts, like those predicted, are read whole.
 
 Defined results: null, empty and blank texts have probability 0 of each category; rows with
-null labels are no training rows; without training rows all probabilities are 0; a
-repeated row is predicted again; other columns are ignored.
+null labels or a null id are no training rows; of different labels, or texts, of one id the smallest
+count; without training rows all probabilities are 0; a repeated row is predicted again; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leadloom.llm.common import written
 from leadloom.llm.words import slices, words
 
 SAMPLE = 1500
@@ -118,11 +120,20 @@ def chain(hashes: np.ndarray, bounds: np.ndarray, labels: np.ndarray, fold: np.n
 
 
 def sample(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
-    """``id``, ``text`` and the categories of the sampled rows; ids are drawn before texts are read."""
-    known = labels.filter(" AND ".join(f"{c} IS NOT NULL" for c in categories)).select(F.col("doc_id").alias("id"), *categories).dropDuplicates(["id"])
-    at = F.row_number().over(W.partitionBy(*categories).orderBy(F.md5(F.col("id").cast("string")), "id"))
-    drawn = known.withColumn("at", at).filter(F.col("at") <= SAMPLE).drop("at")
-    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(drawn), "id").dropDuplicates(["id"])
+    """``id``, ``text`` and the categories of the sampled rows; ids are drawn before texts are read.
+
+    Digests are uniform, so those that may be among the ``SAMPLE`` smallest of a combination
+    are told by its count before anything is sorted: twice as many rows as wanted reach the window.
+    """
+    known = labels.filter(" AND ".join(f"{c} IS NOT NULL" for c in categories) + " AND doc_id IS NOT NULL")
+    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(*categories)).alias("c")).select("id", "c.*").withColumn("digest", F.md5(F.col("id").cast("string")))
+    counts = written(known.groupBy(*categories).agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    share = F.conv(F.substring("digest", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    few = known.join(counts, categories).filter(share * F.col("n") <= 2 * SAMPLE + 100)
+    at = F.row_number().over(W.partitionBy(*categories).orderBy("digest", "id"))
+    drawn = written(few.withColumn("at", at).filter(F.col("at") <= SAMPLE).select("id", *categories), "labels-drawn")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(drawn, "id")
+    return texts.groupBy("id", *categories).agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> list[Model] | None:
