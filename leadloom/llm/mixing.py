@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leadloom.llm.common import SPACE, WORD, written
+from leadloom.llm.common import SPACE, WORD, numbered, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -39,19 +39,35 @@ def sizes(docs: DataFrame, *more: str) -> DataFrame:
     return written(docs.select(*more, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
 
 
+def _running(rows: DataFrame, order: list, name: str, **values) -> DataFrame:
+    """Sums of ``values`` over all rows before each one in the order given.
+
+    Rows are dealt by ranges of the order, summed in each range, and ranges, few rows, among
+    themselves: no task holds all rows, should every host be a source.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    sums = dealt.groupBy("_range").agg(*(F.sum(v).alias(f"_{k}") for k, v in values.items()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = written(sums.select("_range", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in values)), "range-sums")
+    within = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.withColumns({k: F.coalesce(F.sum(v).over(within), F.lit(0)) for k, v in values.items()}).join(sums, "_range")
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).drop("_range", *(f"_{k}" for k in values))
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row for each source: ``source, source_size, n_docs, target``. The windows without a key run over sources, not rows."""
+    """One row for each source: ``source, source_size, n_docs, target``."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")))
+    by_name = F.col("source").asc_nulls_last()
+    per = _running(per, [by_name], "sources", rank=F.lit(1))
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
     per = per.withColumn("cap", max_epochs * F.col("source_size"))
-    by = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = W.partitionBy()
-    before, onward = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(0, W.unboundedFollowing)
-    per = per.withColumn("total", share * F.sum("source_size").over(everything))
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward))
-    level = F.max("level").over(everything)
-    return per.select("source", "source_size", "n_docs", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
+    per = per.withColumn("_by", F.col("cap") / F.col("weight"))
+    per = written(_running(per, [F.col("_by").asc(), by_name], "sources", caps=F.col("cap"), weights=F.col("weight")), "sources")
+    # Three numbers over all sources.
+    size, weight = per.agg(F.sum("source_size"), F.sum("weight")).head()
+    total = share * (size or 0)
+    level = per.agg(F.max((F.lit(float(total)) - F.col("caps")) / (F.lit(weight) - F.col("weights")))).head()[0]
+    return per.select("source", "source_size", "n_docs", F.least(F.col("cap").cast("double"), F.lit(level).cast("double") * F.col("weight")).alias("target"))
 
 
 def mix(sized: DataFrame, seed: str = SEED, row: str | None = None, **how) -> DataFrame:
@@ -80,11 +96,12 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """Pipeline stage: each row as often as the mix takes it; a last repetition in part has its first words.
 
-    Rows are numbered and written, so that each meets its own share, whether its id is null or repeated.
+    Rows are numbered and written, so that each meets its own share, whether its id is null or repeated;
+    rows without words have nothing to give and go, as do those that the mix takes nothing of.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mix(sizes(numbered, "_row"), row="_row").filter("taken > 0").select("_row", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    rows = numbered.join(taken, "_row")
+    counted = numbered(docs)
+    taken = mix(sizes(counted, "_row"), row="_row").filter("taken > 0").select("_row", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    rows = counted.join(taken, "_row")
     parts = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     rows = rows.withColumn("_epoch", F.explode(parts)).withColumn("_words", F.least(F.col("_size"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size")).cast("int"))
     head = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), F.lit(1), F.col("_words")))
