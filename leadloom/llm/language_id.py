@@ -9,7 +9,8 @@ input and counted, which gives the same sums. All training, by backpropagation t
 time, is numpy on the driver, from a bounded sample of labelled rows.
 
 Rows for training: text and label are not null and crc32(id as text) mod 4 is not 2; for
-each label the ``SAMPLE_DOCS`` with the smallest digest of their id. Label, source and id
+each label the ``SAMPLE_DOCS`` with the smallest digest of their id, and of their pieces the
+``SAMPLE_PIECES`` commonest of each label: both bound what comes to the driver. Label, source and id
 are no inputs of a prediction.
 
 The pipeline's stage trains the network with one label more, for what is none of the
@@ -23,7 +24,7 @@ Defined results: null text, or text without a letter, is ``und`` with score 0; a
 document's score is its label's pooled probability; the pool is a mean over positions
 times ``EVIDENCE``, so it stays a soft probability however long the text; with one
 label learned that is always it; with none (an empty table) everything is ``und``; rows
-that repeat are each returned; other columns are ignored.
+that repeat are each returned; a null id is not held out and no training row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import Window as W
 
 from leadloom.llm.words import slices, words
 
-#: Labelled documents for training, at most so many of each label, and the bytes of whole words read from them at most.
+#: Labelled documents for training, and distinct pieces of their words, at most so many of each label.
 SAMPLE_DOCS = 300
 SAMPLE_PIECES = 40_000
 PIECE = 24
@@ -291,7 +292,7 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = identify(docs, fit(docs))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def threshold(docs: DataFrame, net: ByteGru) -> float:
@@ -307,7 +308,11 @@ def threshold(docs: DataFrame, net: ByteGru) -> float:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents in none of the languages learned go, each row by its own text."""
+    """Pipeline stage: documents in none of the languages learned go, each row by its own text, with its columns as they are.
+
+    Null texts and texts without a letter go; ids do not matter, so repeated rows and rows
+    without an id stay or go alike. Without any label to learn from all rows go, an empty table stays empty.
+    """
     net = fit(docs, other=True)
     if net is None:
         return docs.filter(F.lit(False))
