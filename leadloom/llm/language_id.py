@@ -16,7 +16,8 @@ are no inputs of a prediction.
 The pipeline's stage trains the network with one label more, for what is none of the
 languages: made-up pieces of shuffled words, random letters and digits, one repeated
 character and letters of many scripts. A text's evidence is the mean over its bytes of the log
-probability of its best language less that of none; a text whose evidence is below a
+probability of its best language less that of none, over its words of letters if it has any, so
+that numbers, addresses and keys do not count against a text; a text whose evidence is below a
 threshold goes. The threshold is ``MARGIN`` below the ``LOW`` quantile of the evidence of
 the labelled documents sampled, so that clean ones stay.
 
@@ -53,6 +54,8 @@ UNKNOWN = "und"
 OTHERS = 6000
 SCRIPTS = ((0x61, 0x7A), (0x30, 0x39), (0x21, 0x40), (0xC0, 0x17F), (0x370, 0x3FF), (0x400, 0x45F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x900, 0x940), (0xE00, 0xE30), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 #: Evidence is in nats a byte.
+#: Letters, with apostrophes and hyphens among them and other marks at the ends: numbers, addresses and keys say nothing about a language.
+PLAIN_WORD = r"^[^\pL\pN@=:/_]*\pL[\pL\pM'’\-]*[^\pL\pN@=:/_]*$"
 LOW = 0.01
 MARGIN = 4.0
 
@@ -218,8 +221,11 @@ def fit(docs: DataFrame, other: bool = False, **columns) -> ByteGru | None:
     return train(pieces + made, np.array(label + [number[UNKNOWN]] * len(made) if made else label), np.array(weight + [1] * len(made), float), labels)
 
 
-def pooled(net: ByteGru, column: pa.Array, most: float = EVIDENCE) -> np.ndarray:
-    """Log probabilities of each text, ``(rows, labels)``, but for a constant: the mean over its bytes times their number, ``most`` at most."""
+def pooled(net: ByteGru, column: pa.Array, most: float = EVIDENCE, plain: bool = False) -> np.ndarray:
+    """Log probabilities of each text, ``(rows, labels)``, but for a constant: the mean over its bytes times their number, ``most`` at most.
+
+    With ``plain``, a text that has words of letters is judged by these alone.
+    """
     codes, bounds, distinct = words(column, lower_ascii=True)
     strings = distinct.cast(pa.large_binary()).to_pylist()
     owner, pieces = [], []
@@ -237,10 +243,18 @@ def pooled(net: ByteGru, column: pa.Array, most: float = EVIDENCE) -> np.ndarray
         np.add.at(total, owner[at], (net.scores(c) * (c > 0)[:, :, None]).sum(0))
     length = np.bincount(owner, size, len(strings))
     table = np.concatenate((total, length[:, None]), 1)
-    sums = np.zeros((len(bounds) - 1, table.shape[1]))
     full = np.flatnonzero(np.diff(bounds))
-    if len(full):
-        sums[full] = np.add.reduceat(table[codes], bounds[:-1][full], axis=0)
+
+    def summed(of: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(bounds) - 1, of.shape[1]))
+        if len(full):
+            out[full] = np.add.reduceat(of[codes], bounds[:-1][full], axis=0)
+        return out
+
+    sums = summed(table)
+    if plain:
+        some = summed(table * np.asarray(pc.match_substring_regex(distinct, PLAIN_WORD))[:, None])
+        sums = np.where(some[:, -1:] > 0, some, sums)
     return sums[:, :-1] / np.maximum(1, sums[:, -1:]) * np.minimum(most, np.maximum(1, sums[:, -1:]))
 
 
@@ -258,7 +272,7 @@ def lettered(column: pa.Array) -> pa.Array:
 def evidence(net: ByteGru, column: pa.Array) -> np.ndarray:
     """Of a network with ``UNKNOWN``: how much likelier a byte of each text is of the text's best language than of none, in nats."""
     at = net.labels.index(UNKNOWN)
-    mean = pooled(net, column, 1)
+    mean = pooled(net, column, 1, plain=True)
     return np.delete(mean, at, 1).max(1) - mean[:, at]
 
 

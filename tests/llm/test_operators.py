@@ -229,6 +229,16 @@ def test_language_stage_drops_what_is_no_language(spark):
     assert len(got) >= len(clean) + 2 - 1 and {(10**6 + 1, clean[0][1]), (None, clean[1][1])} <= {(r.doc_id, r.text) for r in got}
 
 
+def test_language_stage_keeps_texts_full_of_numbers_and_addresses(spark):
+    """Short texts of whatever personal data are in a language nevertheless; none of the driver's documents is in none."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    more = ["+1 (235) 555-3833 Onwhiner be innd 4690149265297988 anon the of theseand in.", "At +1 (619) 555-1368 ingou, hees intion of.", "password=101a821562d3999d51 At anining as a."]
+    got = language_id.kept(docs.union(spark.createDataFrame([(10**7 + i, t, "en", "s", len(t)) for i, t in enumerate(more)], DOCS)))
+    ids = {r.doc_id for r in got.select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.filter("text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert {10**7 + i for i in range(len(more))} <= ids and len(lettered - ids) <= 1
+
+
 def test_mixed_stage_takes_each_row_once(spark):
     rows = [(None, f"a{i} b c d", "en", "s", 0) for i in range(6)] + [(7, "x y z w", "en", "s", 0)] * 5 + [(8 + i, "k l m n", "en", "s", 0) for i in range(3)]
     docs = spark.createDataFrame(rows, DOCS)
