@@ -18,7 +18,9 @@ least ``percent`` / 100. The join runs in these steps:
 3. Documents that share an index entry are joined in stars, never in pairs, and the
    connected sets are verified: in blocks of ``BLOCK`` documents or ``BLOCK_SHINGLES`` shingles, each
    pair's overlap of whole hashed sets is counted and compared in integers. Each block returns its links as
-   a forest, and the forests' components are the result.
+   a forest, and the forests' components are the result. A set of more than one block is
+   first compared around hubs, and only index entries that still hold documents of several
+   classes connect what is left of it.
 
 Equal sets are one row from step 1 on (in a slice) and step 2 on (everywhere), so copies
 are never expanded into pairs.
@@ -30,6 +32,7 @@ the component of their id; rows with a null id are returned with a null componen
 
 from __future__ import annotations
 
+import functools
 from itertools import groupby
 
 import numpy as np
@@ -47,6 +50,8 @@ RARE = 64
 #: Documents, and shingles of them, of a block: two blocks are compared at a time.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
+#: How often the sets of more than one block are taken apart before what is left is compared block by block.
+TURNS = 3
 #: Bytes of input for a bucket of the hash space, and buckets for a task at most.
 BUCKET_BYTES = 32 << 20
 MOST_BUCKETS = 1 << 10
@@ -342,6 +347,52 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _blocks(sets: DataFrame, reps: DataFrame, name: str, block: int) -> DataFrame:
+    """Into how many blocks each set of documents goes: ``name``, ``blocks``."""
+    held = sets.join(reps.select("doc_id", "n"), F.col("id") == F.col("doc_id")).groupBy(name)
+    return held.agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def _compared(cells: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the links among the documents of each cell (``id, cell``), as forests."""
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.join(reps, F.col("id") == F.col("doc_id")).select("cell", "doc_id", "n", "tokens")
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_verified(percent), "a long, b long")
+
+
+def _narrowed(sets: DataFrame, index: DataFrame, reps: DataFrame, percent: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate sets (``id, component``) with those of more than one block taken apart, and the links found in doing so.
+
+    In a turn, each document of a large set goes to one hub, that of most of its index
+    entries, and each hub's documents are compared with it and one another block by block,
+    which grows with the set, not with its square. Entries whose documents are all linked
+    by then have nothing left to tell; the others connect the sets of the next turn.
+    """
+    settled, links = [], []
+    for turn in range(TURNS):
+        large = written(_blocks(sets, reps, "component", block).filter("blocks > 1").select("component"), "large-sets")
+        if large.isEmpty():
+            break
+        settled.append(sets.join(large, "component", "left_anti").select("id", "component"))
+        ids = sets.join(large, "component", "left_semi").select("id")
+        entries = written(index.join(ids, "id", "left_semi").select("sig", "id"), "large-entries")
+        hubs = entries.groupBy("sig").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
+        votes = entries.join(hubs, "sig").filter("id <> hub").groupBy("id", "hub").count()
+        chosen = written(votes.groupBy("id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")), "hubs")
+        around = _blocks(chosen, reps, "hub", block)
+        members = chosen.join(around, "hub").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        each = around.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+        cells = members.select("id", "hub", "at").union(each).select("id", F.concat_ws(":", "hub", "at").alias("cell"))
+        links.append(written(_compared(cells, reps, percent), "large-links"))
+        classes = written(components(functools.reduce(DataFrame.union, links), "large-links"), "large-classes")
+        named = entries.join(classes, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("cls"))
+        still = named.groupBy("sig").agg(F.min("id").alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high")
+        index = written(entries.join(still.select("sig", "hub"), "sig"), "open-entries")
+        stars = index.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        sets = written(components(stars, "candidate-edges"), "candidates")
+    return functools.reduce(DataFrame.union, settled, sets.select("id", "component")), links
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; ``k`` words a shingle, similarity of ``percent`` / 100 or more."""
     spark = docs.sparkSession
@@ -360,14 +411,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     hubs = index.groupBy("sig").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("sig", "hub")
     stars = index.join(hubs, "sig").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     sets = written(components(stars, "candidate-edges"), "candidates")
+    sets, links = _narrowed(sets, index, reps, percent, block)
 
-    sized = sets.join(reps.select("doc_id", "n"), F.col("id") == F.col("doc_id"))
-    sizes = sized.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    cells = sets.join(sizes, "component").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("id", F.struct("component", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y")).alias("cell"))
-    pairs = cells.join(reps, F.col("id") == F.col("doc_id")).select(F.concat_ws(":", "cell.component", "cell.x", "cell.y").alias("cell"), "doc_id", "n", "tokens")
-    links = pairs.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_verified(percent), "a long, b long")
+    sized = sets.join(_blocks(sets, reps, "component", block), "component").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = sized.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("id", F.concat_ws(":", "component", F.least("at", "to"), F.greatest("at", "to")).alias("cell"))
+    links = functools.reduce(DataFrame.union, links, _compared(cells, reps, percent))
     joined = components(links, "links")
 
     classes = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))

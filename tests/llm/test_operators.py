@@ -89,6 +89,25 @@ def test_ngram_join_is_brute_force_on_driver_rows(spark):
     assert found == expected
 
 
+@pytest.mark.parametrize("block", [2, 7])
+def test_large_sets_of_the_join_are_brute_force(spark, block):
+    """Families around one long passage, so that candidates connect far more than links do, and chains whose ends don't link."""
+    rng = np.random.default_rng(8)
+    passage, texts = [f"p{i}" for i in range(70)], []
+    for family in range(8):
+        own = [f"f{family}-{i}" for i in range(int(rng.integers(4, 40)))]
+        for _ in range(9):
+            words = passage + own
+            for at in rng.integers(0, len(words), int(rng.integers(0, 4))):
+                words[at] = f"x{rng.integers(0, 9)}"
+            texts.append(" ".join(words))
+    texts += [" ".join(f"c{i}" for i in range(start, start + 60)) for start in rng.permutation(30)]
+    sets = [shingles(t, 4) for t in texts]
+    expected = {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, classes(sets, 85), strict=True))}
+    found = ngram_join.near_duplicates(docs_of(spark, texts), k=4, percent=85, rare=5, block=block).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
     truth = {r.doc_id: r for r in docs.collect()}
