@@ -20,7 +20,7 @@ least ``percent`` / 100. The join runs in these steps:
    pair's overlap of whole hashed sets is counted and compared in integers. Each block returns its links as
    a forest, and the forests' components are the result. A set of more than one block is
    first compared around hubs, and only index entries that still hold documents of several
-   classes connect what is left of it.
+   classes connect what is left of it; blocks of one class are not compared again.
 
 Equal sets are one row from step 1 on (in a slice) and step 2 on (everywhere), so copies
 are never expanded into pairs.
@@ -50,7 +50,7 @@ RARE = 64
 #: Documents, and shingles of them, of a block: two blocks are compared at a time.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
-#: How often the sets of more than one block are taken apart before what is left is compared block by block.
+#: How often the sets of more than one block are taken apart, while a turn leaves half of their entries at most; the rest is compared block by block.
 TURNS = 3
 #: Bytes of input for a bucket of the hash space, and buckets for a task at most.
 BUCKET_BYTES = 32 << 20
@@ -361,21 +361,22 @@ def _compared(cells: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _narrowed(sets: DataFrame, index: DataFrame, reps: DataFrame, percent: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Candidate sets (``id, component``) with those of more than one block taken apart, and the links found in doing so.
+    """Cells (``id, cell``) that compare all of each candidate set (``id, component``), and the links found in taking those of more than one block apart.
 
     In a turn, each document of a large set goes to one hub, that of most of its index
     entries, and each hub's documents are compared with it and one another block by block,
     which grows with the set, not with its square. Entries whose documents are all linked
     by then have nothing left to tell; the others connect the sets of the next turn.
+    What stays large is dealt into blocks by class, and blocks of one class aren't compared.
     """
-    settled, links = [], []
-    for turn in range(TURNS):
+    settled, links, classes, worn = [], [], None, False
+    for turn in range(TURNS + 1):
         large = written(_blocks(sets, reps, "component", block).filter("blocks > 1").select("component"), "large-sets")
-        if large.isEmpty():
+        settled.append(sets.join(large, "component", "left_anti").select("id", F.col("component").cast("string").alias("cell")))
+        sets = sets.join(large, "component", "left_semi").select("id", "component")
+        if turn == TURNS or worn or large.isEmpty():
             break
-        settled.append(sets.join(large, "component", "left_anti").select("id", "component"))
-        ids = sets.join(large, "component", "left_semi").select("id")
-        entries = written(index.join(ids, "id", "left_semi").select("sig", "id"), "large-entries")
+        entries = written(index.join(sets, "id", "left_semi").select("sig", "id"), "large-entries")
         hubs = entries.groupBy("sig").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
         votes = entries.join(hubs, "sig").filter("id <> hub").groupBy("id", "hub").count()
         chosen = written(votes.groupBy("id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")), "hubs")
@@ -390,7 +391,25 @@ def _narrowed(sets: DataFrame, index: DataFrame, reps: DataFrame, percent: int,
         index = written(entries.join(still.select("sig", "hub"), "sig"), "open-entries")
         stars = index.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         sets = written(components(stars, "candidate-edges"), "candidates")
-    return functools.reduce(DataFrame.union, settled, sets.select("id", "component")), links
+        worn = 2 * index.count() > entries.count()
+    if classes is not None:
+        settled.append(_grid(sets, classes, reps, block))
+    return functools.reduce(DataFrame.union, settled), links
+
+
+def _grid(sets: DataFrame, classes: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """Cells of two blocks each for large sets: a class of a block or more has blocks of its own, the others share theirs."""
+    named = sets.join(classes.select("id", F.col("component").alias("cls")), "id", "left")
+    own = named.groupBy("component", "cls").count().filter(F.col("cls").isNotNull() & (F.col("count") >= block))
+    own = own.select("component", "cls", F.col("cls").cast("string").alias("own"))
+    named = written(named.join(own, ["component", "cls"], "left").select("id", F.struct("component", F.coalesce("own", F.lit("")).alias("own")).alias("part")), "large-members")
+    sizes = written(_blocks(named, reps, "part", block), "large-parts")
+    dealt = sizes.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    sides = dealt.select(F.col("part.component").alias("component"), F.col("part.own").alias("own"), F.concat_ws("/", "part.own", "at").alias("side"))
+    across = sides.join(sides.select("component", F.col("own").alias("other"), F.col("side").alias("to")), "component").filter("own = '' OR own <> other")
+    across = across.select("component", "side", F.concat_ws(":", "component", F.least("side", "to"), F.greatest("side", "to")).alias("cell"))
+    members = named.join(sizes, "part").select("id", F.col("part.component").alias("component"), F.concat_ws("/", "part.own", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("side"))
+    return members.join(across, ["component", "side"]).select("id", "cell")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, block: int = BLOCK) -> DataFrame:
@@ -411,11 +430,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     hubs = index.groupBy("sig").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("sig", "hub")
     stars = index.join(hubs, "sig").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     sets = written(components(stars, "candidate-edges"), "candidates")
-    sets, links = _narrowed(sets, index, reps, percent, block)
-
-    sized = sets.join(_blocks(sets, reps, "component", block), "component").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = sized.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("id", F.concat_ws(":", "component", F.least("at", "to"), F.greatest("at", "to")).alias("cell"))
+    cells, links = _narrowed(sets, index, reps, percent, block)
     links = functools.reduce(DataFrame.union, links, _compared(cells, reps, percent))
     joined = components(links, "links")
 
