@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def _meta(html: Column, *patterns: str) -> list[Column]:
     return [F.regexp_extract(html, "(?is)" + p, 1) for p in patterns]
 
 
-def business_names(pages: DataFrame) -> DataFrame:
-    """Adds ``business_name``: of site name, title property, JSON-LD names, first heading and title the first of two characters or more, else the host's label. Needs ``data``."""
+def business_names(pages: DataFrame, decoded: Callable[[Column], Column] = unescape) -> DataFrame:
+    """Adds ``business_name``: of site name, title property, JSON-LD names, first heading and title the first of two characters or more, else the host's label. Needs ``data``; ``decoded`` resolves entities."""
     html = F.coalesce(F.col("html"), F.lit(""))
     site = r"<meta[^>]+property=[\"']og:site_name[\"'][^>]+content=[\"']([^\"']+)[\"']"
     swapped = r"<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+property=[\"']og:site_name[\"']"
@@ -31,7 +33,7 @@ def business_names(pages: DataFrame) -> DataFrame:
     before, after = _meta(html, site, swapped, title), _meta(html, r"<h1[^>]*>([^<]+)</h1>", r"<title[^>]*>([^<]+)</title>")
     mark = "\x00"
     joined = F.concat_ws(mark, *before, F.array_join("data.names", mark), *after)
-    plain = pages.withColumn("_names", unescape(joined))
+    plain = pages.withColumn("_names", decoded(joined))
     fit = F.filter(F.transform(F.split("_names", mark), clean_name), lambda n: F.length(n) >= 2)
     return plain.withColumn("business_name", F.coalesce(F.try_element_at(fit, F.lit(1)), host_label(F.col("url")))).drop("_names")
 
