@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,16 @@ SLICE_BYTES = 8 << 20
 SLICE_ROWS = 1 << 15
 
 
+def trimmed() -> None:
+    """Gives free memory back to the system: a worker lives on for other stages, and its heap would stay as large as its largest slice made it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; elsewhere the allocator is left alone
+    if trim:
+        trim(0)
+
+
 def slices(batches, text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in runs of SLICE_BYTES of text and SLICE_ROWS rows at most."""
+    """The rows of all batches in runs of SLICE_BYTES of text and SLICE_ROWS rows at most; free memory goes back between them."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(size)
@@ -25,6 +34,7 @@ def slices(batches, text: str) -> Iterator[pa.RecordBatch]:
             stop = min(stop, start + SLICE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop
+            trimmed()
 
 
 def words(column: pa.Array, lower_ascii: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
