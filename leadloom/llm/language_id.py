@@ -448,4 +448,5 @@ def kept(docs: DataFrame) -> DataFrame:
     found = judged(docs, net)
     # Equal texts go together; the digests that go are written, so that Spark knows how many they are.
     gone = written(found.filter(F.col("evidence") < threshold(found)).select(F.col("digest").alias("_gone")).distinct(), "gone")
+    dropped(found)
     return docs.filter(F.col("text").isNotNull()).join(gone, F.sha2("text", 256) == F.col("_gone"), "left_anti")

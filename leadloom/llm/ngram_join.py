@@ -52,6 +52,8 @@ BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
 #: How often the sets of more than one block are taken apart, while a turn leaves half of their entries at most; the rest is compared block by block.
 TURNS = 3
+#: Bytes of text hashed at a time, which bound a worker's memory.
+SLICE = 4 << 20
 #: Bytes of input for a bucket of the hash space, and buckets for a task at most.
 BUCKET_BYTES = 32 << 20
 MOST_BUCKETS = 1 << 10
@@ -85,7 +87,8 @@ def _unpack(blob: bytes) -> np.ndarray:
 def shingle_keys(column: pa.Array, k: int) -> np.ndarray:
     """Sorted distinct ``hash48 << 16 | row`` of a slice's shingles (a slice has at most 2 ** 15 rows)."""
     codes, bounds, distinct = words(column, lower_ascii=True)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), _U, len(distinct))[codes]
+    strings = (w for a in range(0, len(distinct), 1 << 14) for w in distinct.slice(a, 1 << 14).to_pylist())
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in strings), _U, len(distinct))[codes]
     length = np.diff(bounds)
     rows = np.repeat(np.arange(len(length)), length)
     place = np.arange(len(codes)) - bounds[:-1][rows]
@@ -112,7 +115,7 @@ def _shingled(k: int, buckets: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             keys = shingle_keys(batch.column("text"), k)
             ids = np.asarray(batch.column("id").fill_null(_NULL), np.int64)
             row = (keys & _U(0xFFFF)).astype(np.int64)

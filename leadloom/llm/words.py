@@ -22,15 +22,15 @@ def trimmed() -> None:
         trim(0)
 
 
-def slices(batches, text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in runs of SLICE_BYTES of text and SLICE_ROWS rows at most; free memory goes back between them."""
+def slices(batches, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in runs of ``most`` bytes of text and SLICE_ROWS rows at most; free memory goes back between them."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(size)
         start = 0
         while start < batch.num_rows:
             base = ends[start] - size[start]
-            stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             stop = min(stop, start + SLICE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop

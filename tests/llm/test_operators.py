@@ -7,12 +7,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import of_query, of_sql
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from leadloom.llm import chat, common, exact_dedup, language_id, line_dedup, mixing, neighbours, ngram_join, packing, toxicity, warc
+from leadloom.llm import words as word_slices
 from leadloom.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -554,3 +556,11 @@ def test_language_stage_learns_from_every_labelled_row(spark, monkeypatch):
     low = values[max(0, int(np.ceil(language_id.LOW * len(values))) - 1)]
     assert 0 <= low - language_id.MARGIN - language_id.threshold(found) <= language_id.STEP
     assert language_id.kept(docs).count() == len(rows)
+
+
+def test_slices_give_free_memory_back(monkeypatch):
+    """Workers live on for the stages that follow: after each slice, not only at the end."""
+    given = []
+    monkeypatch.setattr(word_slices, "trimmed", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (word_slices.SLICE_BYTES - 1)] * 3)], ["text"])
+    assert [len(given) for _ in word_slices.slices([batch], "text")] == [0, 1, 2] and len(given) == 3
