@@ -1,7 +1,8 @@
 """The corpus pipeline: known languages, exact copies out, near copies out, source weights, packing.
 
 Each stage works on all that its predecessor kept and, but for the last, returns the columns of
-documents; ``run`` writes each stage's rows to the shared folder and reads them again for the next.
+documents; ``run`` writes each stage's rows to the shared folder, reads them again for the next and
+deletes what only the stages before needed.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from leadloom.llm.common import documents, written
+from leadloom.llm.common import documents, dropped, settled
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = written(docs, f"stage-{number}")
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{number}")
+        dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

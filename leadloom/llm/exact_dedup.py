@@ -27,7 +27,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import fresh_path, numbered, without, without_white, written
+from leadloom.llm.common import dropped, fresh_path, numbered, settled, without, without_white, written
 
 #: A digest is hot from this share of the index's rows on; by counting there are at most 1 / HOT_SHARE hot ones.
 HOT_SHARE = 0.001
@@ -49,6 +49,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def forgotten(self) -> None:
+        """Takes the index out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def _holders(self) -> DataFrame:
         return self.table().filter("holder").select("digest").hint("merge")
 
@@ -117,13 +121,22 @@ def kept(docs: DataFrame) -> DataFrame:
     those that repeat it. Rows count, not ids: rows of different texts that share an id, or have
     none, each stay or go by their own text. Null, empty and blank texts are one group.
     """
-    rows = numbered(docs)
-    found = written(deduplicate(rows, best=True, row="_row"), "groups")
+    rows, spark = numbered(docs), docs.sparkSession
+    indexes = []
+
+    def groups() -> DataFrame:
+        indexes.append(DigestIndex(spark, fresh_path(spark, "digest-index")))
+        return deduplicate(rows, indexes[0], best=True, row="_row")
+
+    found = settled(groups, "groups")
+    indexes[0].forgotten()
     best = found.filter(F.col("id").eqNullSafe(F.col("keep_id")))
     # A group has one best row but for repeats: only those few are looked at further.
     several = best.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("n_chars", (-F.col("_row")).alias("at"))).alias("first")).filter("n > 1").select("digest", (-F.col("first.at")).alias("first"))
     repeats = best.join(written(several, "repeats"), "digest").filter("_row <> first").select("_row")
-    return without(rows, found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("_row").union(repeats)).select(docs.columns)
+    out = without(rows, found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("_row").union(repeats)).select(docs.columns)
+    dropped(found)
+    return out
 
 
 SQL = r"""

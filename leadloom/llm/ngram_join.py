@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import numbered, without, written
+from leadloom.llm.common import dropped, numbered, settled, without, written
 from leadloom.llm.components import components
 from leadloom.llm.words import slices, words
 
@@ -454,9 +454,11 @@ def kept(docs: DataFrame) -> DataFrame:
     Repeated rows are one group. Rows without words are in no group and stay.
     """
     rows = numbered(docs)
-    found = written(near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("cls")), "groups")
+    found = settled(lambda: near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("cls")), "groups")
     others = found.filter("cls <> _row")
     members = others.union(others.select(F.col("cls").alias("_row"), "cls").distinct())
     named = members.join(rows.select("_row", F.col("doc_id").alias("id")), "_row")
     first = named.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first"))
-    return without(rows, named.join(first, "cls").filter("_row <> first._row")).select(docs.columns)
+    out = without(rows, named.join(first, "cls").filter("_row <> first._row")).select(docs.columns)
+    dropped(found)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -564,3 +565,42 @@ def test_slices_give_free_memory_back(monkeypatch):
     monkeypatch.setattr(word_slices, "trimmed", lambda: given.append(1))
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * (word_slices.SLICE_BYTES - 1)] * 3)], ["text"])
     assert [len(given) for _ in word_slices.slices([batch], "text")] == [0, 1, 2] and len(given) == 3
+
+
+def _lying(spark) -> set[str]:
+    folder = Path(common.shared_dir(spark).removeprefix("file://")) / "leadloom"
+    return {str(p) for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_path):
+    """Rows have the same numbers in every reading, however the files are split; files listed twice get a written table."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i % 7, f"t {i}", None, None, 1) for i in range(3000)], DOCS).repartition(5).write.parquet(path)
+    docs, before = spark.read.parquet(path), _lying(spark)
+    rows = common.numbered(docs)
+    assert rows.columns == [*docs.columns, "_row"] and not _lying(spark) - before
+    first = {r._row: r.text for r in rows.collect()}
+    assert len(first) == 3000 and first == {r._row: r.text for r in common.numbered(docs.select("text")).collect()}
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert first == {r._row: r.text for r in common.numbered(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    for others in (spark.read.parquet(path, path), docs.union(docs), docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))):
+        assert common.numbered(others).select("_row").distinct().count() == 6000
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.kept, ngram_join.kept, mixing.repeated])
+def test_stages_leave_no_copies_of_texts_behind(spark, tmp_path, stage):
+    """Pipeline: what a stage has written on the way is deleted, and texts of files are not copied."""
+    made = spark.createDataFrame(STAGE_ROWS, DOCS)
+    made.write.parquet(str(tmp_path / "docs"))
+    before = _lying(spark)
+    out = stage(spark.read.parquet(str(tmp_path / "docs")))
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in _lying(spark) - before]
+    assert not {"numbered", "files", "digests", "digest-index", "groups", "shingle-sets", "representatives", "signatures"} & set(left)
+    if stage != mixing.repeated:  # there, equal ids and sizes are told apart by number
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, stage(made).collect()))
+    else:
+        assert out.count() == stage(made).count()
